@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, packing, quality
+from . import ann, language_id, packing, pii, quality
 from . import decontaminate as dc
 from .near_dups import near_duplicates
 from .token_counts import count_tokens
@@ -27,6 +27,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.number_of(k, F.col("pii_base")).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,6 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_decontaminate, op6_language_id, op7_packing, op8_ann, op9_token_counts, op10_near_dups)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_pii, op6_language_id, op7_packing, op8_ann, op9_token_counts, op10_near_dups)}
 
 ORACLE_SQL: dict[str, str] = {}
