@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Most rows and bytes of text that an Arrow batch hands to Python.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold a bounded number of rows and bytes."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def stored(df: DataFrame, keep: list | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -48,3 +62,9 @@ def drop(spark: SparkSession, paths: list) -> None:
 def with_columns(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` followed by the columns of ``ddl``."""
     return StructType(list(df.schema) + list(StructType.fromDDL(ddl)))
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now, not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()

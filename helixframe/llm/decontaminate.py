@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import with_columns
+from ._spark import bounded_batches, with_columns
 
 WINDOW = 10
 #: Most text of benchmark items that is sent to the executors at once.
@@ -219,7 +219,7 @@ def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: id_col, n_words, n_hit, n_items, item_ids, spans (word ranges), longest_match, contaminated."""
-    rows = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     queries = list(query_blocks(benchmark, item_col, text_col, window, block_bytes))
     if len(queries) == 1:
         found = _scan(rows, queries[0], window)

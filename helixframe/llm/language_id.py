@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import with_columns
+from ._spark import bounded_batches, with_columns
 from .quality import in_fold
 
 WINDOW = 64
@@ -219,7 +219,7 @@ def pooled(model: BiGRU, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
     """Fit on a bounded sample of the rows for which ``learn`` holds; None without any."""
-    rows = documents.where(learn).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = bounded_batches(documents).where(learn).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     order = F.xxhash64(F.col("k"), F.lit("language"))
     ids = rows.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l")).distinct()
     languages = sorted(r["l"] for r in ids.select("l").distinct().collect())

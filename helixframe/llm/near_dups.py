@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import stored
+from ._spark import bounded_batches, stored
 from .components import components
 
 WORDS = 5
@@ -45,6 +45,8 @@ PERCENT = 75
 BASE = 1.01
 RATE = 20.0
 BANDS, ROWS = 40, 4
+#: Band keys that meet in one task of step 2.
+SHARD_KEYS = 400_000
 #: Documents in a block of step 4.
 BLOCK = 2048
 SIGMAS = 5.0
@@ -304,14 +306,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: id_col, n_shingles, component_id (least id reachable by links), kept (is that id)."""
     spark = documents.sparkSession
     paths: list = []
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(_sketched(rows), paths)
     one = sketches.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     classes = one.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = stored(one.join(classes, "digest").select("id", "rep", "digest"), paths)
     reps = stored(sketches.join(nodes.where("id = rep").select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]), paths)
     n = reps.count()
-    shards = shards or max(8, -(-n * BANDS // 4_000_000))
+    shards = shards or max(8, -(-n * BANDS // SHARD_KEYS))
     stars = stored(_star_links(_buckets(reps, shards)), paths)
     sets = stored(_full_sets(rows, stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), reps), paths)
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))

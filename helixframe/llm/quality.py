@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import with_columns
+from ._spark import bounded_batches, with_columns
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
@@ -182,6 +182,7 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None) -> Network:
     """Fit on rows of ``documents`` for which ``learn`` (a condition on the id) holds."""
+    bounded_batches(documents)
     known = labels.groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).alias("q"))
     ids = documents.where(learn).select(F.col(id_col).alias("k")).where("k is not null").distinct().join(known, "k", "left")
     order = F.xxhash64(F.col("k"), F.lit("quality"))
@@ -202,7 +203,7 @@ def score(documents: DataFrame, network: Network, text_col: str = "text", to: st
 
     A column of that name is replaced.
     """
-    rows = documents.drop(to)
+    rows = bounded_batches(documents).drop(to)
     at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

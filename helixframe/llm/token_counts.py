@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import with_columns
+from ._spark import bounded_batches, with_columns
 
 #: Distinct units whose lengths a worker remembers (about 100 bytes each).
 CACHE_UNITS = 1_000_000
@@ -114,7 +114,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024, i
 
     ``tokenizer_path`` names a file that every executor has.
     """
-    rows = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = bounded_batches(documents).select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnitCounter(load_tokenizer(tokenizer_path), tokenizer_path.endswith("byte_bpe_50k.json"))
