@@ -13,9 +13,9 @@ sequence; no words: empty and linked with nothing). The steps:
    full sets. Verified links are closed to components.
 4. Candidate groups that still hold several components are compared further: members
    outside the group's main component, in blocks, against the group's members in
-   blocks. The joint maximum-likelihood estimate of the similarity drops pairs that
-   are ``SIGMAS`` standard errors below the threshold or already connected; the
-   others are checked on full sets. So no link between different texts is lost but
+   blocks. A task skips pairs that are connected already, and by the joint
+   maximum-likelihood estimate of the similarity those that are ``SIGMAS`` standard
+   errors below the threshold; the others are checked there on full sets. So no link between different texts is lost but
    by the chance of the bands (below 1e-6 for a pair at the threshold) and of the
    estimate (5 standard errors).
 
@@ -235,15 +235,18 @@ def _full_sets(documents: DataFrame, wanted: DataFrame, reps: DataFrame) -> Data
             digest = [hashlib.blake2b(x, digest_size=16).digest() for x in out]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], names=["id", "digest", "shingles"])
 
-    found = documents.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, digest binary, shingles binary")
+    # one plan at every size: the texts are dealt by id, however few ids are wanted
+    found = documents.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, digest binary, shingles binary")
     return found.join(reps.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
 
 
 def linked(first: np.ndarray, second: np.ndarray, percent: int = PERCENT) -> bool:
     """100 * |A & B| >= percent * |A | B| for sorted distinct hashes."""
-    if 100 * min(len(first), len(second)) < percent * max(len(first), len(second)):
+    if len(first) > len(second):
+        first, second = second, first
+    if not len(first) or 100 * len(first) < percent * len(second):
         return False
-    both = len(first) + len(second) - len(np.union1d(first, second))
+    both = int((second[np.minimum(np.searchsorted(second, first), len(second) - 1)] == first).sum())
     return 100 * both >= percent * (len(first) + len(second) - both)
 
 
@@ -260,46 +263,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs in different components whose estimate is not clearly below the threshold.
+def _more_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a candidate group.
 
-    members: grp, id, comp, n_shingles, sketch of groups that hold several components.
-    The component with most members is the group's main one; only pairs with a member
-    outside it are looked at, as (block of those) x (block of all).
+    members: grp, id, comp, n_shingles, sketch, shingles of groups that hold several
+    components. The component with most members is the group's main one; only pairs with
+    a member outside it are looked at, as (block of those) x (block of all). A task skips
+    pairs that are connected already, by then, and pairs whose estimate is clearly below
+    the threshold, compares the full sets of the others, and returns only the links that
+    joined components: no pair becomes a row.
     """
     sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"))
     placed = members.join(main, "grp").withColumn("blocks", F.ceil(F.col("n_all") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = placed.select("grp", "block", "blocks", "id", "comp", "n_shingles", "sketch", (F.col("comp") != F.col("main")).alias("asks"))
-    asking = every.where("asks")
+    every = placed.select("grp", "block", "blocks", "id", "comp", "n_shingles", "sketch", "shingles", (F.col("comp") != F.col("main")).alias("outside"))
+    asking = every.where("outside")
     tasks = asking.select("grp", F.col("block").alias("qb"), "blocks").distinct().select("grp", "qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ab"))
-    left = asking.select("grp", F.col("block").alias("qb"), "id", "comp", "n_shingles", "sketch").join(tasks, ["grp", "qb"])
-    right = every.select("grp", F.col("block").alias("ab"), "id", "comp", "n_shingles", "sketch").join(tasks, ["grp", "ab"])
-    names = ["grp", "qb", "ab", "id", "comp", "n_shingles", "sketch"]
+    names = ["grp", "qb", "ab", "id", "comp", "n_shingles", "sketch", "shingles"]
+    left = asking.withColumnRenamed("block", "qb").join(tasks, ["grp", "qb"])
+    right = every.withColumnRenamed("block", "ab").join(tasks, ["grp", "ab"])
 
     def compare(table: pa.Table) -> pa.Table:
-        a, b = [], []
         asks = table.column("asks")
         x, y = table.filter(asks), table.filter(pc.invert(asks))
+        a, b = [], []
         if x.num_rows and y.num_rows:
             ids, comps, sizes_ = (y.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
             regs = np.frombuffer(b"".join(y.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
-            for i, c, n, r in zip(*(x.column(k).to_pylist() for k in ("id", "comp", "n_shingles", "sketch")), strict=True):
-                near = np.flatnonzero((comps != c) & (100 * np.minimum(sizes_, n) >= PERCENT * np.maximum(sizes_, n)))
+            full = [np.frombuffer(s, np.uint64) for s in y.column("shingles").to_pylist()]
+            label = comps.copy()
+            of = {int(c): int(c) for c in comps}  # where an asking member's component stands now
+            t = PERCENT / 100
+            least = t - SIGMAS * np.sqrt(t * (1 - t) / regs.shape[1])
+            for i, c, n, r, s in zip(*(x.column(k).to_pylist() for k in ("id", "comp", "n_shingles", "sketch", "shingles")), strict=True):
+                own = of.get(c, c)
+                near = np.flatnonzero((label != own) & (100 * np.minimum(sizes_, n) >= PERCENT * np.maximum(sizes_, n)))
                 if not len(near):
                     continue
-                mine = np.frombuffer(r, np.uint16)
-                t = PERCENT / 100
-                least = t - SIGMAS * np.sqrt(t * (1 - t) / len(mine))
-                good = near[at_least(mine[None, :], regs[near], np.full(len(near), float(n)), sizes_[near].astype(float), least)]
-                a += [i] * len(good)
-                b += ids[good].tolist()
+                mine, set_ = np.frombuffer(r, np.uint16), np.frombuffer(s, np.uint64)
+                near = near[at_least(mine[None, :], regs[near], np.full(len(near), float(n)), sizes_[near].astype(float), least)]
+                near = near[np.argsort(-(regs[near] == mine).sum(axis=1), kind="stable")]
+                for k in near.tolist():
+                    if label[k] != own and linked(set_, full[k]):
+                        a.append(i)
+                        b.append(int(ids[k]))
+                        gone = label[k]
+                        label[label == gone] = own
+                        for q, v in of.items():
+                            if v == gone:
+                                of[q] = own
+                        of[c] = own
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sides = left.select(*names, F.lit(True).alias("asks")).union(right.select(*names, F.lit(False)))
-    found = sides.groupBy("grp", "qb", "ab").applyInArrow(compare, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return sides.groupBy("grp", "qb", "ab").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -323,8 +341,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     comps = components(good)
     members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     split = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    open_ = stored(members.join(split, "grp", "left_semi").join(reps, "id").select("grp", "id", "comp", "n_shingles", "sketch"), paths)
-    more = stored(_verified(_open_pairs(open_), sets), paths)
+    open_ = members.join(split, "grp", "left_semi").join(reps, "id").join(sets, "id")
+    more = stored(_more_links(open_.select("grp", "id", "comp", "n_shingles", "sketch", "shingles")), paths)
     final = components(good.union(more)).select(F.col("node").alias("rep"), "component")
     placed = nodes.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles").join(placed, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
