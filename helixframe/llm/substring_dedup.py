@@ -9,10 +9,11 @@ smaller id, or earlier in the same one) goes; strings are judged on the input. S
    repeat and drop out.
 2. Neighbouring windows with one anchor are a context. Contexts with repeated anchors go
    to the shard of their anchor; a task sends equal contexts once, with their places.
-3. A shard cuts contexts down to windows whose hash repeats, merges equal ones, and sorts
-   the suffixes of the rest by Lyndon grouping. Windows that are equal stand side by
-   side in the suffix array (checked byte by byte); of each such set the earliest place
-   stays and all others are removed.
+3. A shard cuts contexts down to windows whose hash repeats and merges equal ones, whose
+   places are then one list. Texts that share a window hash with another text are
+   sorted by their suffixes, by Lyndon grouping: windows that are equal stand side by side
+   in the suffix array (checked byte by byte). Of each set of equal windows the earliest
+   place stays and all others are removed.
 4. The removed ranges go back to their documents, which are cut and hashed.
 
 A hash only ever drops what cannot repeat; a collision costs work, no result. Anchors
@@ -183,7 +184,8 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 def _batches(texts: list[bytes], width: int, limit: int = SORT_BYTES) -> Iterator[np.ndarray]:
     """Numbers of texts that may share windows, in groups of about ``limit`` bytes.
 
-    Texts are joined where a window hash links them, so equal windows are never apart.
+    Texts are joined where a window hash links them, so equal windows are never apart. A
+    text that is linked with no other is in no group.
     """
     if not texts:
         return
@@ -208,6 +210,9 @@ def _batches(texts: list[bytes], width: int, limit: int = SORT_BYTES) -> Iterato
     for k in range(len(texts)):
         root[k] = root[up[k]]  # up[k] <= k, so it is final
     order = np.argsort(root, kind="stable")
+    order = order[np.bincount(root, minlength=len(texts))[root[order]] > 1]
+    if not len(order):
+        return
     sizes = np.array([len(t) + 1 for t in texts])[order]
     new = np.concatenate(([True], root[order][1:] != root[order][:-1]))
     begin, total = 0, 0
