@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,11 @@ def with_columns(df: DataFrame, ddl: str) -> StructType:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now, not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished plans now, not at some later collection.
+
+    A plan lets go of its shuffles in one collection, and they are found to be free in the next.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
