@@ -106,15 +106,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, seed: int) -> Network:
     """Adam on the non-negative risk; with no prior, on plain positive against unlabelled risk."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    n = both.shape[1]
+    n, rows = positive.shape[1], len(positive) + len(unlabelled)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in (positive, unlabelled)) / rows
+    scale = np.sqrt(np.maximum(sum(_squares(x, mean) for x in (positive, unlabelled)) / rows, 0)) + 0.02
+    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
     params = [rng.normal(0, (1 / n) ** 0.5, (n, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for t in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 512)]
-        x = np.concatenate([xp, xu])
+        x = np.concatenate([positive[rng.integers(0, len(positive), 256)], unlabelled[rng.integers(0, len(unlabelled), 512)]])
+        x = (x.astype(np.float32) - mean) / scale
         h = np.maximum(x @ params[0] + params[1], 0)
         g = h @ params[2] + params[3][0]
         s = _sigmoid(g)
@@ -134,7 +134,12 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, step
             first[k] = 0.9 * first[k] + 0.1 * gr
             second[k] = 0.999 * second[k] + 0.001 * gr * gr
             params[k] = (params[k] - 0.003 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return Network(mean.astype(np.float32), scale.astype(np.float32), params[0], params[1], params[2], float(params[3][0]), prior or 0.5)
+    return Network(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior or 0.5)
+
+
+def _squares(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sums of squared differences from the mean, a part of the rows at a time."""
+    return sum((((x[k : k + 1024].astype(np.float64) - mean) ** 2).sum(axis=0) for k in range(0, len(x), 1024)), np.zeros(x.shape[1]))
 
 
 def estimate_prior(score_positive: np.ndarray, score_unlabelled: np.ndarray) -> float:
@@ -168,16 +173,16 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def _featured(rows: DataFrame) -> DataFrame:
+    """(y, x): marks and half-precision figures of all rows of an Arrow batch, one row for each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = T.flat(b.column(1))
-            out = []
-            for i, j in T.slices(offsets):
-                x = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out += [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
+            x = [features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float16).tobytes() for i, j in T.slices(offsets)]
+            y = b.column(0).to_numpy().astype(np.int8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.binary()), pa.array([b"".join(x)], pa.binary())], names=["y", "x"])
 
-    return rows.select("y", "t").mapInArrow(run, "y int, x binary")
+    return rows.select("y", "t").mapInArrow(run, "y binary, x binary")
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None) -> Network:
@@ -191,10 +196,14 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     sample = F.broadcast(trusted.union(rest))  # MAX_POSITIVE + MAX_UNLABELLED ids at most
     rows = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(sample, "k")
     got = _featured(rows.dropDuplicates(["k"])).collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["x"])))
-    np.random.default_rng(3).shuffle(got)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, N_FEATURES) if got else np.zeros((0, N_FEATURES), np.float32)
-    y = np.array([r["y"] for r in got], int)
+    y = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r["y"], np.int8) for r in got)])
+    x = np.concatenate([np.zeros((0, N_FEATURES), np.float16), *(np.frombuffer(r["x"], np.float16).reshape(-1, N_FEATURES) for r in got)])
+    del got
+    # one order, however the rows arrived
+    key = x.view(np.uint16).astype(np.uint64) @ T.mix(np.arange(1, N_FEATURES + 1, dtype=np.uint64))
+    order = np.lexsort((key, y))
+    np.random.default_rng(3).shuffle(order)
+    x, y = x[order], y[order]
     return fit(x[y == 1], x[y == 0], prior)
 
 
