@@ -65,4 +65,36 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_decontaminate, op4_pii, op5_lm_score, op6_language_id, op7_packing, op8_ann, op9_token_counts, op10_near_dups)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL for DuckDB. The other operators depend on a model, a tokenizer or an order of packing.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5(raw[p : p + 99]) AS h FROM (SELECT doc_id, raw, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100) x),
+again AS MATERIALIZED (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) y WHERE k > 1),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g
+ FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM again) a1) a2 GROUP BY doc_id, g),
+gap AS (SELECT doc_id, z AS after, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY a) AS upto FROM (SELECT doc_id, a, z FROM run UNION ALL SELECT doc_id, 0, 0 FROM d) r),
+kept AS (SELECT doc_id, string_agg(hex(raw[after + 1 : coalesce(upto - 1, n)]), '' ORDER BY after) AS x FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+s AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM run GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op3_decontaminate": f"""
+WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (SELECT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM iw WHERE len(w) > 0) x),
+dwin AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, (SELECT DISTINCT n FROM win) z WHERE len(w) >= n) y),
+hit AS MATERIALIZED (SELECT doc_id, s, n, item_id FROM dwin JOIN win USING (k, n)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) h GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op10_near_dups": f"""
+WITH RECURSIVE dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM dw WHERE len(w) > 0) x),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sh x JOIN sh y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN c ca ON a = ca.doc_id JOIN c cb ON b = cb.doc_id WHERE 100 * m >= 75 * (ca.n + cb.n - m)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN c USING (doc_id)""",
+}
