@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import bounded_batches
+from ._spark import stored as stored_table
+
 SAMPLE = 6_000
 TARGET = 0.985
 BLOCK = 16_384
@@ -177,7 +180,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     """(query_id, rank, id_col, score): the k nearest rows found for each row whose id is divisible by ``every``."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = bounded_batches(vectors).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(SAMPLE).collect()
     dim = Counter(len(r["v"]) for r in sample).most_common(1)[0][0] if sample else 1
@@ -200,7 +203,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
                 seen[i] = o.tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(seen, pa.list_(pa.int32()))], names=["id", "raw", "part", "visits"])
 
-    routed = rows.mapInArrow(route, "id long, raw binary, part int, visits array<int>")
+    # routed once: three plans read it
+    routed = stored_table(rows.mapInArrow(route, "id long, raw binary, part int, visits array<int>"))
     sizes = routed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     asking = 1 + n // every // BLOCK
     placed = routed.select("id", "raw", "part").join(F.broadcast(sizes), "part")  # one row for each part: 128 at most
