@@ -10,7 +10,7 @@ Parts are held in blocks of ``BLOCK`` rows and queries in blocks of as many, so
 hot part nor a repeated vector ends in one task. Vectors that are null, zero, hold null
 or non-finite components, or differ in length from the sample's usual length take no
 part; so do rows with a null id. Fewer candidates than k give fewer rows; ties go to the
-smaller id; repeated ids count once each, but never as their own query's neighbour.
+smaller id; a row that repeats id and vector counts once, and never as their own query's neighbour.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches
@@ -222,8 +222,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         else:
             r, f, s = top(m[asks], ids[asks], ids[~asks], m[~asks], k)
             q = ids[asks][r]
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(f, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = stored.union(queries).groupBy("part", "block", "qblock").applyInArrow(search, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+        # one row for each query (a repeated id asks more than once): its hits, nearest first
+        edge = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
+        hits = pa.StructArray.from_arrays([pa.array(-s, pa.float64()), pa.array(f, pa.int64())], names=["d", "id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(r)), pa.int32()), hits)
+        return pa.table({"query_id": pa.array(q[edge], pa.int64()), "part": pa.array(np.full(len(edge), table.column("part")[0].as_py()), pa.int32()), "hits": lists})
+
+    found = stored.union(queries).groupBy("part", "block", "qblock").applyInArrow(search, "query_id long, part int, hits array<struct<d:double,id:long>>")
+    # lists of k hits are merged within a part, then over parts
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k).alias("hits")
+    best = found.groupBy("query_id", "part").agg(merged).groupBy("query_id").agg(merged)
+    ranked = best.select("query_id", F.posexplode("hits").alias("pos", "hit"))
+    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.d")).alias("score"))
