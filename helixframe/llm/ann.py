@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, drop
 from ._spark import stored as stored_table
 
 SAMPLE = 6_000
@@ -154,8 +154,20 @@ def fit_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
 
 
 def top(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k candidates of largest inner product; equal vectors score equal."""
+    """(query row, id, score) of the k candidates of largest inner product; equal vectors score equal.
+
+    Candidates of one id and score count once.
+    """
     rows, found, scores = [], [], []
+
+    def ranked(query: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = (vectors[near] * query).sum(axis=1)
+        order = np.lexsort((ids[near], -exact))
+        i, e = ids[near][order], exact[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (i[1:] != i[:-1]) | (e[1:] != e[:-1])
+        return i[new][:k], e[new][:k]
+
     for i in range(0, len(queries), 256):
         s = queries[i : i + 256] @ vectors.T
         s[own[i : i + 256, None] == ids[None, :]] = -np.inf
@@ -163,11 +175,12 @@ def top(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarr
         least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n]
         for j in range(len(s)):
             near = np.flatnonzero((s[j] >= least[j] - 1e-9 * (1 + abs(least[j]))) & (s[j] > -np.inf)) if least[j] > -np.inf else np.flatnonzero(s[j] > -np.inf)
-            exact = (vectors[near] * queries[i + j]).sum(axis=1)
-            best = np.lexsort((ids[near], -exact))[:k]
+            best, exact = ranked(queries[i + j], near)
+            if len(best) < k and len(near) < (every := np.flatnonzero(s[j] > -np.inf)).size:
+                best, exact = ranked(queries[i + j], every)  # what counted once left room for more
             rows.append(np.full(len(best), i + j))
-            found.append(ids[near][best])
-            scores.append(exact[best])
+            found.append(best)
+            scores.append(exact)
     none = np.zeros(0, np.int64)
     return (np.concatenate(rows), np.concatenate(found), np.concatenate(scores)) if rows else (none, none, np.zeros(0))
 
@@ -181,6 +194,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = bounded_batches(vectors).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    # repeats go first: they would fill the sample and the places of nearer rows
+    paths: list = []
+    rows = stored_table(rows.dropDuplicates(["id", "v"]), paths)
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(SAMPLE).collect()
     dim = Counter(len(r["v"]) for r in sample).most_common(1)[0][0] if sample else 1
@@ -205,6 +221,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
     # routed once: three plans read it
     routed = stored_table(rows.mapInArrow(route, "id long, raw binary, part int, visits array<int>"))
+    drop(vectors.sparkSession, paths)
     sizes = routed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     asking = 1 + n // every // BLOCK
     placed = routed.select("id", "raw", "part").join(F.broadcast(sizes), "part")  # one row for each part: 128 at most

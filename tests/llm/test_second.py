@@ -175,3 +175,18 @@ def test_ann_edges(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df).collect())
     assert got == [(0, 1, 1), (0, 2, 21), (0, 3, 20), (20, 1, 0), (20, 2, 1), (20, 3, 21)]
     assert ann.nearest(df.where("false")).count() == 0
+
+
+def test_ann_repeats(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(25))))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute_nearest(rows, 20, 20)
+
+
+def test_ann_top_counts_an_id_and_score_once():
+    vectors = np.array([[1.0, y] for y in range(30)] + [[0.5, 0.0], [0.2, 0.0]])
+    _, ids, scores = ann.top(np.array([[1.0, 0.0]]), np.array([0]), np.array([1] * 30 + [2, 0]), vectors, 20)
+    assert ids.tolist() == [1, 2] and scores.tolist() == [1.0, 0.5]
