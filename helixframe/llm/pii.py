@@ -41,7 +41,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"[0-9(][0-9 ().-]{5,60}[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{16,200}",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
     "masked": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[a-z0-9-]{1,64}(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]{1,64}){1,4}",
 }
 #: What a text must have for a kind to be possible; most texts have none.
@@ -201,7 +201,8 @@ def detect(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
     def scored(kind: str) -> Column:
         model = _fitted(spark, kind)
-        free = F.filter(F.col(f"__{kind}"), lambda c: ~F.exists(F.col("pii_base"), lambda b: _overlaps(b, c)))
+        proposed = F.filter(F.col(f"__{kind}"), lambda c: c["m"].rlike("[0-9]")) if kind == "secret" else F.col(f"__{kind}")
+        free = F.filter(proposed, lambda c: ~F.exists(F.col("pii_base"), lambda b: _overlaps(b, c)))
         rated = F.transform(free, lambda c: F.struct(plain(c, kind).alias("s"), model.column(features(c)).alias("p")))
         return F.filter(rated, lambda c: c["p"] >= model.threshold)
 

@@ -78,3 +78,17 @@ def test_calibration(spark):
     for kind in pii.ADDED:
         m = pii._fitted(spark, kind)
         assert 0 < m.threshold < 1
+
+
+def test_long_secrets_whole(spark):
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tokens = ["".join(rng.choices(alphabet + "0123456789", k=n)) for n in (200, 201, 300, 900, 5000)]
+    tokens += ["".join(rng.choices(alphabet, k=260)) + "".join(rng.choices("0123456789" + alphabet, k=80)), "".join(rng.choices("0123456789abcdef", k=512))]
+    rows = [(k, f'see token = "{t}" here') for k, t in enumerate(tokens)]
+    jwt = ".".join(("eyJ" + tokens[0][:33], "eyJ" + tokens[2], tokens[1]))
+    rows += [(100, f"Authorization: Bearer {jwt} end"), (101, "a" * 300 + " 1"), (102, "a" * 1_000_000 + " 1 " + "-=" * 100_000)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == 'see token = "[SECRET]" here' for k in range(len(tokens))), got
+    assert got[100] == "Authorization: Bearer [SECRET].[SECRET].[SECRET] end"
+    assert got[101] == rows[-2][1] and got[102] == rows[-1][1]
