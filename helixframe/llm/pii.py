@@ -1,11 +1,13 @@
 """Personal data: native candidate generators, boosted trees, calibrated selection.
 
 Four base kinds (email, ip, card, phone) are found by their patterns and checks and
-always stay. Three high-recall generators propose further, overlapping spans: runs of
-digits, long tokens with a digit, and masked addresses. Each candidate's format and
-context become features; boosted trees give a calibrated probability, and those at or
-above the threshold that reached the wanted precision on calibration rows are added,
-unless they overlap a base span or a likelier addition.
+always stay. High-recall generators propose further, overlapping spans: runs of digits,
+the shapes of local phone and security numbers wherever one can start in a run, long
+tokens with a digit, and masked addresses; of a run or token that touches base spans,
+what is left between them. Each candidate's format and context become features; boosted
+trees give a calibrated probability, and those at or above the threshold that reached
+the wanted precision on calibration rows are added, likeliest first, unless they overlap
+a base span or an addition made before.
 
 Everything on a text is a DataFrame expression; the trees are nested CASE expressions.
 The trees are fitted on the driver from examples that ``examples()`` writes, whose
@@ -40,10 +42,18 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"[0-9(][0-9 ().-]{5,60}[0-9]",
+    "number": r"(?=\(?[0-9][0-9 ().-]{5})\(?[0-9](?:[ ().-]*+[0-9])*+",
     "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
     "masked": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[a-z0-9-]{1,64}(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]{1,64}){1,4}",
 }
+#: Shapes of numbers, proposed wherever they can start: group 1 is the shape, group 2 what
+#: follows, and the match itself only the first character, so that matches may overlap.
+INNER = {k: rf"(?<![0-9])(?=({shape})(?![0-9])((?s:.{{0,4}})))[0-9(]" for k, shape in {
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local": r"(?:\([0-9]{2,5}\)|[0-9]{2,5})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}",
+}.items()}
+#: What a candidate cut at base spans must still be.
+REST = {"number": r"\(?[0-9](?:[ ().-]*+[0-9])*+", "secret": "[A-Za-z0-9_+/=-]{16,}+"}
 #: What a text must have for a kind to be possible; most texts have none.
 _GATES = {"email": "@", "phone": "+", "ip": "[0-9]", "card": "[0-9]", "number": "[0-9]", "secret": "[0-9]", "masked": r"(?i)[\[(]at[\])]"}
 
@@ -77,6 +87,50 @@ def find(text: Column, kind: str) -> Column:
     return F.when(possible, _let(both, walk)).otherwise(none)
 
 
+def find_inner(text: Column, shape: str) -> Column:
+    """find() for the overlapping matches of a shape of INNER."""
+    pattern = INNER[shape]
+    none = F.array().cast(_SPAN)
+
+    def walk(x: Column) -> Column:
+        pieces = F.arrays_zip(x["m"], x["after"], x["s"])
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+
+        def step(a: Column, p: Column) -> Column:
+            begin = a["at"] + F.length(p["s"])
+            before = F.right(F.concat(a["tail"], p["s"]), F.lit(24))
+            span = F.struct(begin.alias("start"), (begin + F.length(p["m"])).alias("end"), p["m"].alias("m"), before.alias("before"), p["after"].alias("after"))
+            tail = F.concat(before, F.left(p["m"], F.lit(1)))
+            return F.when(p["m"].isNull(), a).otherwise(F.struct((begin + 1).alias("at"), tail.alias("tail"), F.concat(a["out"], F.array(span)).alias("out")))
+
+        return F.aggregate(pieces, start, step)["out"]
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("after"), F.split(text, pattern, -1).alias("s"))
+    return F.when(text.rlike(pattern), _let(parts, walk)).otherwise(none)
+
+
+def rest(c: Column, taken: Column, kind: str) -> Column:
+    """The candidates that are left of ``c`` between the ``taken`` spans, sorted by start."""
+    end = F.array(F.struct(c["end"].alias("start"), c["end"].alias("end")))
+    stops = F.concat(F.transform(F.filter(taken, lambda b: _overlaps(b, c)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), end)
+    start = F.struct(c["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        gap = F.substr(c["m"], a["at"] - c["start"] + 1, F.greatest(b["start"] - a["at"], F.lit(0)))
+
+        def cut(m: Column) -> Column:
+            begin = a["at"] + F.instr(gap, m) - 1
+            skip = begin - c["start"]
+            before = F.right(F.concat(c["before"], F.substr(c["m"], F.lit(1), skip)), F.lit(24))
+            after = F.left(F.concat(F.substr(c["m"], skip + F.length(m) + 1), c["after"]), F.lit(4))
+            return F.struct(begin.alias("start"), (begin + F.length(m)).alias("end"), m.alias("m"), before.alias("before"), after.alias("after"))
+
+        found = F.regexp_extract_all(gap, F.lit(REST[kind]), F.lit(0))
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], F.transform(F.slice(found, 1, 1), cut)).alias("out"))
+
+    return F.aggregate(stops, start, step)["out"]
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -187,7 +241,7 @@ def detect(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = documents.drop("pii_base", "pii_spans").withColumns({f"__{k}": find(text, k) for k in PATTERNS})
+    found = documents.drop("pii_base", "pii_spans").withColumns({f"__{k}": find(text, k) for k in PATTERNS} | {f"__{k}": find_inner(text, k) for k in INNER})
 
     def plain(c: Column, kind: str) -> Column:
         rank = (*BASE, *ADDED).index(kind)
@@ -199,21 +253,30 @@ def detect(documents: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*[checked(k) for k in BASE]))
     found = found.withColumn("pii_base", base)
 
+    def touched(c: Column) -> Column:
+        return F.exists(F.col("pii_base"), lambda b: _overlaps(b, c))
+
     def scored(kind: str) -> Column:
         model = _fitted(spark, kind)
-        proposed = F.filter(F.col(f"__{kind}"), lambda c: c["m"].rlike("[0-9]")) if kind == "secret" else F.col(f"__{kind}")
-        free = F.filter(proposed, lambda c: ~F.exists(F.col("pii_base"), lambda b: _overlaps(b, c)))
+        proposed = F.col(f"__{kind}")
+        free = F.filter(proposed, lambda c: ~touched(c))
+        if kind in REST:
+            free = F.concat(free, F.flatten(F.transform(F.filter(proposed, touched), lambda c: rest(c, F.col("pii_base"), kind))))
+        if kind == "number":
+            free = F.concat(F.filter(free, lambda c: F.length(c["m"]) >= 7), *[F.filter(F.col(f"__{k}"), lambda c: ~touched(c)) for k in INNER])
+        if kind == "secret":
+            free = F.filter(free, lambda c: c["m"].rlike("[0-9]"))
         rated = F.transform(free, lambda c: F.struct(plain(c, kind).alias("s"), model.column(features(c)).alias("p")))
         return F.filter(rated, lambda c: c["p"] >= model.threshold)
 
     chosen = F.concat(*[scored(k) for k in ADDED])
 
-    def likelier(o: Column, c: Column) -> Column:
-        return _overlaps(o["s"], c["s"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & (o["s"] < c["s"])))
-
-    best = _let(chosen, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: likelier(o, c))))
-    found = found.withColumn("__added", F.transform(best, lambda c: c["s"]))
-    return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", "__added"))).drop("__added", *[f"__{k}" for k in PATTERNS])
+    # likeliest first, then by place; a span that lost its own place takes none from others
+    order = F.array_sort(F.transform(chosen, lambda c: F.struct((-c["p"]).alias("p"), c["s"].alias("s"))))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    best = F.aggregate(order, none, lambda a, c: F.when(F.exists(a, lambda o: _overlaps(o, c["s"])), a).otherwise(F.concat(a, F.array(c["s"]))))
+    found = found.withColumn("__added", best)
+    return found.withColumn("pii_spans", F.array_sort(F.concat("pii_base", "__added"))).drop("__added", *[f"__{k}" for k in (*PATTERNS, *INNER)])
 
 
 def number_of(kind: str, spans: Column) -> Column:

@@ -92,3 +92,38 @@ def test_long_secrets_whole(spark):
     assert all(got[k] == 'see token = "[SECRET]" here' for k in range(len(tokens))), got
     assert got[100] == "Authorization: Bearer [SECRET].[SECRET].[SECRET] end"
     assert got[101] == rows[-2][1] and got[102] == rows[-1][1]
+
+
+def test_numbers_inside_runs(spark):
+    texts = [
+        "10.0.0.1 212-555-0199",
+        "123-45-6789 987-65-4322",
+        "555-123-4567. 2 pm",
+        "call 12 555-123-4567",
+        "see 10.0.0.1 (212) 555-0199 or 10.0.0.2",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25. 212-555-0199 é (212) 555-0198",
+        "212-555-0100 212-555-0101 212-555-0102 212-555-0103 212-555-0104 212-555-0105 212-555-0106",
+        "on 2020-01-02 we sold 1 000 000 of 20",
+        'token = "kR7dPz0QmW3xVn8sLb2tYc6h4111111111111111Hq9JfTg5uXe1ZaNo4iKvBw3r"',
+    ]
+    rows = list(enumerate(texts)) + [(100, "(" * 200_000), (101, "1 " * 40_000), (102, "1(" * 40_000), (103, "1" + " " * 200_000)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [
+        "[IP] [NUMBER]",
+        "[NUMBER] [NUMBER]",
+        "[NUMBER]. 2 pm",
+        "call 12 [NUMBER]",
+        "see [IP] [NUMBER] or [IP]",
+        texts[5].split("212")[0] + "[NUMBER] é [NUMBER]",
+        " ".join(["[NUMBER]"] * 7),
+        texts[7],
+        'token = "[SECRET][CARD][SECRET]"',
+    ]
+    assert all(got[k] == t for k, t in rows[-4:])
+
+
+def test_rest_of_a_candidate(spark):
+    span = "struct<start:int,end:int,m:string,before:string,after:string>"
+    df = spark.sql(f"SELECT cast(struct(5, 31, '10.0.0.1 (212)555-0199 -4 1', 'see: ', '; é') AS {span}) AS c, array(struct(5 AS start, 13 AS end), struct(29 AS start, 31 AS end)) AS t")
+    got = df.select(pii.rest(F.col("c"), F.col("t"), "number").alias("r")).head().r
+    assert [tuple(x) for x in got] == [(14, 27, "(212)555-0199", "see: 10.0.0.1 ", " -4 ")]
