@@ -5,7 +5,8 @@ the fullest open bin that still takes them; if none does, a new bin is opened at
 size with the least cost per token among those that take the item and do not exceed the
 plan's largest size. One plan is made for each largest size, every bin of a plan is
 downsized to the smallest size that holds its contents, and the plan of least total
-cost is kept: so the sizes are chosen jointly.
+cost is kept. At ``default_cost`` the plans for 1024 and above are the same: larger bins
+are opened only for pieces that fit nothing smaller.
 
 Texts longer than the largest size are split: whole pieces of that size fill a bin of
 their own, the rest is packed. Nothing is dropped: texts of no tokens get one row with
