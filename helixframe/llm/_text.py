@@ -7,6 +7,7 @@ handled by a few numpy passes and no Python loop over words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +44,67 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any span follows in O(1)."""
+    """Prefix sums for rolling_hash()."""
     out = np.zeros(len(buf) + 1, dtype=U64)
     np.cumsum((buf.astype(U64) + U64(1)) * _power_table(_BASE, len(buf)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; equal bytes give equal hashes."""
-    inverse = _power_table(_INVERSE, len(prefix))
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct byte strings and, for each span, the number of its own.
+
+    Spans are ascending and disjoint. Strings are told apart by their bytes, not by a hash.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    # spans and the gaps between them are one array over the buffer, without a copy
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    data = pa.py_buffer(np.ascontiguousarray(buf))
+    both = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), data]).dictionary_encode()
+    number = both.indices.to_numpy()[::2]
+    used = np.zeros(len(both.dictionary), bool)
+    used[number] = True
+    place = np.cumsum(used) - 1
+    return both.dictionary.take(pa.array(np.flatnonzero(used))).to_pylist(), place[number].astype(np.int64)
+
+
+#: Longest span that is hashed by eight bytes at a time.
+_SHORT = 64
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span; equal bytes give equal hashes.
+
+    Eight bytes at a time are mixed into the value; up to eight bytes of one length never
+    collide. Spans above ``_SHORT`` bytes get a keyed cryptographic hash.
+    """
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D))
+    if not len(starts):
+        return h
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    own, at, left = slice(None), starts, size
+    for k in range(_SHORT // 8):
+        if k:
+            own = np.flatnonzero((size > 8 * k) & (size <= _SHORT))
+            if not len(own):
+                break
+            at, left = starts[own] + 8 * k, size[own] - 8 * k
+        chunk = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.clip(left, 1, 8)) * 8).astype(U64))
+        h[own] = mix((h[own] * U64(0x9FB21C651E98DF25) if k else h) ^ chunk)
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        digest = blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, key=b"span").digest()
+        h[k] = int.from_bytes(digest, "little")
+    return h
 
 
 def rolling_hash(prefix: np.ndarray, width: int) -> np.ndarray:
-    """Unmixed hash of every ``width``-byte string of the buffer."""
+    """Unmixed polynomial hash of every ``width``-byte string of the buffer.
+
+    Different strings can be written to collide, so equal hashes prove nothing by themselves.
+    """
     n = len(prefix) - 1 - width + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)

@@ -49,7 +49,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
     for k in range(6):
         tag = (tag << np.uint64(8)) | np.where(starts + k < ends, padded[starts + k], 0).astype(np.uint64)
-    return np.stack([T.span_hash(T.prefix_hash(low), starts, ends), tag], axis=1), row
+    return np.stack([T.span_hash(low, starts, ends), tag], axis=1), row
 
 
 @dataclass

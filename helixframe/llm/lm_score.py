@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import _text as T
-from ._spark import bounded_batches, forget_shuffles, stored
+from ._spark import bounded_batches, stored
 from .quality import in_fold
 
 #: Text of a block; its words and counts are in memory together.
@@ -57,7 +57,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows = len(offsets) - 1
     low = T.lower_ascii(buf)
     starts, ends, row = T.words(low, offsets, T.NOT_BLANK)
-    h = T.span_hash(T.prefix_hash(low), starts, ends)
+    h = T.span_hash(low, starts, ends)
     out = np.full(len(h) + rows, END, np.uint64)
     out[np.arange(len(h)) + row] = h
     bounds = T.row_bounds(row, rows) + np.arange(rows + 1)
@@ -227,7 +227,6 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
 
     sent = rows.select("held", "block", "t").mapInArrow(count, "shard long, block int, blob binary")
     totals = stored(sent.groupBy("shard").applyInArrow(add, "block int, kind int, hashes binary, counts binary, figures array<long>"), paths)
-    forget_shuffles(spark)
     n, v, ends = totals.where("block = -1").agg(*[F.coalesce(F.sum(F.col("figures")[k]), F.lit(0)) for k in range(3)]).first()
 
     def gather(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:

@@ -64,7 +64,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> li
     n_rows = len(offsets) - 1
     if not len(starts):
         return [np.zeros(0, np.uint64)] * n_rows
-    h = T.span_hash(T.prefix_hash(low), starts, ends)
+    h = T.span_hash(low, starts, ends)
     bounds = T.row_bounds(row, n_rows)
     all_ = T.combine(h, width)
     out = []

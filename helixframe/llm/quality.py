@@ -62,12 +62,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     def distinct(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All, distinct, and directly repeated items of each row."""
-        h = T.span_hash(prefix, starts, ends) ^ T.mix(owner.astype(np.uint64))
+        h = T.span_hash(buf, starts, ends) ^ T.mix(owner.astype(np.uint64))
         _, first = np.unique(h, return_index=True)
         again = owner[1:][h[1:] == h[:-1]]
         return tuple(np.bincount(x, minlength=rows) for x in (owner, owner[first], again))
 
-    prefix = T.prefix_hash(buf)
     starts, ends, owner = T.words(buf, offsets, T.NOT_BLANK)
     n_words, d_words, again = distinct(starts, ends, owner)
     n_lines, d_lines, _ = distinct(*T.words(buf, offsets, _IN_LINE))

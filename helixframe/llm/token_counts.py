@@ -3,11 +3,12 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts: before
 white space that follows a character which is surely not white space. Each such
 unit then encodes alike wherever it stands, so a batch encodes every distinct
-unit once, in calls of about equal bytes, and sums lengths. Memory is bounded by
-the slice size, not by a text's length (unless a text has no safe boundary).
+unit once, in calls of about equal bytes, and sums lengths. Units are told apart by
+their bytes. A very long text is handed to the tokenizer in such calls; only one without
+any safe boundary is encoded at once.
 
-Nulls and empty texts count 0 tokens; repeated rows and ids are kept; other
-columns are ignored.
+Null and empty texts count 0 tokens; repeated rows and ids are kept; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import bounded_batches, with_columns
 
-#: Distinct units whose lengths a worker remembers (about 100 bytes each).
-CACHE_UNITS = 1_000_000
+#: Distinct units whose lengths a worker remembers, and the longest of them in bytes.
+CACHE_UNITS, UNIT_BYTES = 500_000, 64
 #: Bytes handed to one call of the tokenizer.
 CALL_BYTES = 256 << 10
 
@@ -91,19 +92,17 @@ class UnitCounter:
             starts = safe_starts(part, off) if self.split else off[:-1][off[:-1] < off[1:]]
             if not len(starts):
                 continue
-            ends = np.append(starts[1:], len(part))
-            h = T.span_hash(T.prefix_hash(part), starts, ends)
-            distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            n = list(map(self.known.get, distinct.tolist()))
+            distinct, inverse = T.spans(part, starts, np.append(starts[1:], len(part)))
+            n = list(map(self.known.get, distinct))
             new = [k for k, v in enumerate(n) if v is None]
             if new:
-                raw = part.tobytes()
-                got = self.encode([raw[starts[k] : ends[k]] for k in first[new].tolist()])
-                if len(self.known) + len(new) > CACHE_UNITS:
-                    self.known.clear()
-                self.known.update(zip(distinct[new].tolist(), got, strict=True))
+                got = self.encode([distinct[k] for k in new])
                 for k, v in zip(new, got, strict=True):
                     n[k] = v
+                    if len(distinct[k]) <= UNIT_BYTES:
+                        if len(self.known) >= CACHE_UNITS:
+                            self.known.clear()
+                        self.known[distinct[k]] = v
             row = np.searchsorted(off, starts, "right") - 1
             out[i:j] = np.bincount(row, weights=np.array(n, np.float64)[inverse], minlength=j - i).astype(np.int64)
         return out
