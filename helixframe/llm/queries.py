@@ -40,7 +40,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_held_out(table(spark, sf_dir, "documents"))
+    found = lm_score.score_held_out(table(spark, sf_dir, "documents"))
+    # the order of a sum's terms shows in its last places
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: crc32 of doc_id as text, by bytes and bits.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+ lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, s: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+_K1, _K2 = lm_score.SMOOTHING
+
 #: SQL for DuckDB. The other operators depend on a model, a tokenizer or an order of packing.
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": """
@@ -88,6 +95,18 @@ hit AS MATERIALIZED (SELECT doc_id, s, n, item_id FROM dwin JOIN win USING (k, n
 hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) h GROUP BY doc_id),
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) h GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op5_lm_score": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_CRC} % 5 = 1 AS held, list_append(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, held, x, lag(x, 1, '') OVER q AS h, lag(x, 2, CASE WHEN p > 1 THEN '' END) OVER q AS g FROM (SELECT doc_id, held, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) y WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+c1 AS (SELECT x, count(*) AS n1 FROM t WHERE NOT held GROUP BY x),
+c2 AS (SELECT h, x, count(*) AS n2 FROM t WHERE NOT held GROUP BY h, x),
+c3 AS (SELECT g, h, x, count(*) AS n3 FROM t WHERE NOT held AND g IS NOT NULL GROUP BY g, h, x),
+f AS (SELECT sum(n1) AS n, count(*) AS v, (SELECT count(*) FROM d WHERE NOT held) AS docs FROM c1),
+p AS (SELECT t.doc_id, t.held, coalesce(c1.n1, 0) AS n1, (coalesce(c1.n1, 0) + 0.5::DOUBLE) / (f.n + 0.5::DOUBLE * (f.v + 1)) AS root, coalesce(c2.n2, 0) AS n2, CASE WHEN t.h = '' THEN f.docs ELSE coalesce(o.n1, 0) END AS of1, coalesce(c3.n3, 0) AS n3, coalesce(o2.n2, 0) AS of2, t.g, f.n
+ FROM t CROSS JOIN f LEFT JOIN c1 ON c1.x = t.x LEFT JOIN c1 o ON o.x = t.h LEFT JOIN c2 ON c2.h = t.h AND c2.x = t.x LEFT JOIN c2 o2 ON o2.h = t.g AND o2.x = t.h LEFT JOIN c3 ON c3.g = t.g AND c3.h = t.h AND c3.x = t.x),
+s AS (SELECT *, (n2 + {_K1}::DOUBLE * root) / (of1 + {_K1}::DOUBLE) AS p2 FROM p)
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, CAST(sum(CAST(n1 > 0 AS BIGINT)) AS BIGINT) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10(root)), 6) AS base_score,
+ round(sum(log10(CASE WHEN g IS NULL THEN p2 ELSE (n3 + {_K2}::DOUBLE * p2) / (of2 + {_K2}::DOUBLE) END)), 6) AS score FROM s GROUP BY doc_id, held""",
     "op10_near_dups": f"""
 WITH RECURSIVE dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM dw WHERE len(w) > 0) x),
