@@ -89,3 +89,12 @@ def drop(spark: SparkSession, paths: list) -> None:
 def with_columns(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` followed by the columns of ``ddl``."""
     return StructType(list(df.schema) + list(StructType.fromDDL(ddl)))
+
+
+#: Most tasks that dealt() makes; beyond it a task takes several groups, one after the other.
+MOST_TASKS = 20_000
+
+
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """``df`` dealt by ``key`` to about as many tasks as it has groups, so tasks do not grow with the input."""
+    return df.repartition(max(1, min(int(groups), MOST_TASKS)), key)

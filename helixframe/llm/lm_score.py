@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import _text as T
-from ._spark import bounded_batches, stored
+from ._spark import bounded_batches, dealt, stored
 from .quality import in_fold
 
 #: Text of a block; its words and counts are in memory together.
@@ -267,7 +267,7 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
     bounded_batches(documents)
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
-    block, _ = _blocks(documents, id_col, int(total))
+    block, n_blocks = _blocks(documents, id_col, int(total))
     bits = max(2, int(np.ceil(np.log2(1 + total / 6 / SHARD_TOKENS))))
     rows = documents.select(F.col(id_col).alias("k"), held.alias("held"), block.alias("block"), F.col(text_col).cast("string").alias("t"))
 
@@ -325,7 +325,7 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
         return pa.table({"block": pa.array(blocks, pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int64()), "counts": pa.array(answers, pa.binary()), "figures": pa.array(figures, pa.list_(pa.int64()))})
 
     sent = rows.select("held", "block", "t").mapInArrow(count, "shard long, block int, blob binary")
-    totals = stored(sent.groupBy("shard").applyInArrow(add, "block int, shard long, counts binary, figures array<long>"))
+    totals = stored(dealt(sent, "shard", len(ORDERS) << bits).groupBy("shard").applyInArrow(add, "block int, shard long, counts binary, figures array<long>"))
     n, v, ends = totals.where("block = -1").agg(*[F.coalesce(F.sum(F.col("figures")[k]), F.lit(0)) for k in range(3)]).first()
 
     def finish(docs: pa.Table, model: pa.Table) -> pa.Table:
@@ -349,7 +349,8 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
         return pa.table({"k": docs.column("k"), "held": docs.column("held"), **columns})
 
     schema = S.StructType([*rows.schema.fields[:2], *S.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")])
-    done = rows.groupBy("block").cogroup(totals.where("block >= 0").groupBy("block")).applyInArrow(finish, schema)
+    sides = [dealt(x, "block", n_blocks).groupBy("block") for x in (rows, totals.where("block >= 0"))]
+    done = sides[0].cogroup(sides[1]).applyInArrow(finish, schema)
     return done.select(F.col("k").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -7,24 +7,29 @@ smaller id, or earlier in the same one) goes; strings are judged on the input. S
    hash, the leftmost on ties, so equal windows have equal anchors at equal places. Hashes
    of anchors are counted over all documents; windows whose anchor is unique cannot
    repeat and drop out.
-2. Neighbouring windows with one anchor are a context. Contexts with repeated anchors go
-   to the shard of their anchor; a task sends equal contexts once, with their places.
-3. A shard cuts contexts down to windows whose hash repeats and merges equal ones, whose
-   places are then one list. Texts that share a window hash with another text are
-   sorted by their suffixes, by Lyndon grouping: windows that are equal stand side by side
-   in the suffix array (checked byte by byte). Of each set of equal windows the earliest
-   place stays and all others are removed.
+2. Neighbouring windows with one anchor are a context. A block of documents keeps the
+   earliest place of each distinct context with a repeated anchor; its later places in the
+   block are removed at once. So a passage that a third of all documents hold is one entry
+   for each block, to whose anchor's shard text and earliest place are sent.
+3. A shard cuts contexts down to windows whose hash repeats and merges equal ones. Texts
+   that share a window hash with another text are sorted by their suffixes, by Lyndon
+   grouping: windows that are equal stand side by side in the suffix array (checked byte by
+   byte). Of each set of equal windows the earliest place stays and all others are removed.
 4. The removed ranges go back to their documents, which are cut and hashed.
 
-A hash only ever drops what cannot repeat; a collision costs work, no result. Anchors
-that stand at more than ``HOT`` places send their windows one by one, each to a shard of
-its own hash, where equal ones meet as one entry for each task: so no anchor's contexts
-gather in one task.
+A hash only ever drops what cannot repeat; a collision costs work, no result. Contexts of
+anchors that stand at more than ``HOT`` places may differ without bound (a common line in
+different surroundings), so their windows go one by one, as 128-bit keyed digests with the
+earliest place in the block, each to a shard of its own; the earliest of equal digests
+stays. So an anchor's contexts never gather in one task, and one suffix array is over
+``SORT_BYTES`` and the texts of one anchor, ``HOT`` contexts at most.
 
 Documents are rows. Null texts are empty; texts shorter than WIDTH stay whole. Rows with
 one id are ordered by the digest of their text; rows that repeat both id and text are
-one document, and each gets its result. A null id comes before all others. An empty
-table gives no rows.
+one document, and each gets its result. A null id comes before all others; ids must be
+whole numbers. Other columns, whatever their names, are ignored. An empty table gives no
+rows. A very long text is held whole in one task, its hashes by slices of 2 MB or, if one
+text is longer, of that text (about 60 bytes for each of its bytes).
 """
 
 from __future__ import annotations
@@ -39,16 +44,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import _text as T
-from ._spark import bounded_batches, stored
+from ._spark import bounded_batches, dealt, drop, stored
 from .lm_score import _blocks
 from .suffix_sort import suffix_array
 
 WIDTH = 100
 GRAM = 32
-HOT = 100_000
+HOT = 2_000
 #: Bytes of the corpus for each shard of anchors.
 SHARD_BYTES = 8 << 20
-#: Bytes that one suffix array is built over; a set of equal windows is never split.
+#: Bytes that one suffix array is built over, and up to one anchor's texts more.
 SORT_BYTES = 192 << 10
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -233,25 +238,49 @@ def _own_key(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_SENT = "shard long, block int, texts binary, sizes binary, counts binary, places binary"
+_SENT = "shard long, block int, texts binary, sizes binary, places binary, digests binary"
 
 
-def _send(shard: np.ndarray, block: int, texts: list[bytes], places: list[np.ndarray], out: dict[str, list]) -> None:
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows of numbers by byte planes, which compress where neighbours are alike."""
+    return np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _unplaned(blob: bytes, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes."""
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T)
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1])))
-    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-        own = order[i:j].tolist()
-        row = (int(shard[own[0]]), block, b"".join(texts[k] for k in own), np.array([len(texts[k]) for k in own], np.int32).tobytes(), np.array([len(places[k]) for k in own], np.int32).tobytes(), np.concatenate([places[k] for k in own]).tobytes())
-        for x, v in zip(out.values(), row, strict=True):
-            x.append(v)
+    edges = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1]))) if len(shard) else np.zeros(0, np.int64)
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
+        yield int(shard[order[i]]), order[i:j]
+
+
+def _merged(ranges: np.ndarray) -> np.ndarray:
+    """Rows (id, tie, start, end) with touching ranges of one document joined."""
+    if not len(ranges):
+        return ranges
+    r = ranges[np.lexsort((ranges[:, 2], ranges[:, 1], ranges[:, 0]))]
+    other = np.concatenate(([True], (r[1:, :2] != r[:-1, :2]).any(axis=1)))
+    begin = np.flatnonzero(other)
+    out = []
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(r)], strict=True):
+        top = np.maximum.accumulate(r[i:j, 3])
+        new = np.flatnonzero(np.concatenate(([True], r[i + 1 : j, 2] > top[:-1])))
+        own = r[i:j][new].copy()
+        own[:, 3] = top[np.append(new[1:], j - i) - 1]
+        out.append(own)
+    return np.concatenate(out)
 
 
-def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, list]:
-    """Rows (k, block, t) and removed ranges (block, ranges) of each block; paths to drop()."""
+def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (k, block, t), removed ranges (block, ranges) of each block, and the number of blocks."""
     spark = bounded_batches(documents).sparkSession
     paths: list = []
     total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
-    block, _ = _blocks(documents, id_col, int(total))
+    block, n_blocks = _blocks(documents, id_col, int(total))
     shards = 1 + int(total) // SHARD_BYTES
     rows = documents.select(F.col(id_col).cast("long").alias("k"), block.alias("block"), F.col(text_col).cast("string").alias("t"))
 
@@ -304,74 +333,105 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             block_ = docs.column("block")[0].as_py()
             buf, offsets = T.flat(docs.column("t"))
             own_key = _own_key(docs.column("k").combine_chunks() if isinstance(docs.column("k"), pa.ChunkedArray) else docs.column("k"), buf, offsets)
-            found: dict[bytes, int] = {}
-            texts: list[bytes] = []
-            places: list[list] = []
-            shard: list[int] = []
-            seen: set[tuple[int, int]] = set()
+            found: dict[bytes, tuple[int, int]] = {}  # earliest place of a context in the block: row, position
+            shard_of: dict[bytes, int] = {}
+            heated: dict[bytes, tuple[int, int]] = {}  # the same of a window of a hot anchor
+            gone: list[tuple[int, int, int]] = []  # later places: row, start, end
+            rank = np.lexsort((own_key[:, 1], own_key[:, 0]))
+            # a row that repeats both id and text is no second document
+            fresh = np.ones(len(own_key), bool)
+            fresh[rank[1:]] = (own_key[rank[1:]] != own_key[rank[:-1]]).any(axis=1)
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))  # rows in the order of documents
+            nth, row_at = place.tolist(), rank.tolist()
+
+            def meet(seen: dict, text: bytes, r: int, p: int) -> None:
+                here = (nth[r], p)
+                old = seen.get(text)
+                if old is None or here < old:
+                    seen[text] = here
+                    here = old
+                if here is not None:
+                    gone.append((row_at[here[0]], here[1], here[1] + len(text)))
+
             for i, j in T.slices(offsets):
                 part = buf[offsets[i] : offsets[j]]
                 off = offsets[i : j + 1] - offsets[i]
                 h, first, last, row = contexts(part, off, width, gram)
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                good = keys[at] == h
-                # a row that repeats both id and text is no second document
-                fresh = np.ones(j - i, bool)
-                for k in range(i, j):
-                    pair = (int(own_key[k, 0]), int(own_key[k, 1]))
-                    fresh[k - i] = pair not in seen
-                    seen.add(pair)
-                good &= fresh[row]
+                good = (keys[at] == h) & fresh[i:j][row] if len(row) else np.zeros(0, bool)
                 raw = part.tobytes()
-                h, first, last, row, warm = h[good], first[good], last[good], row[good], heat[at[good]] > 0
-                if warm.any():  # windows one by one, each under its own hash
-                    n = np.where(warm, last - first + 1, 1)
-                    again = np.repeat(np.arange(len(n)), n)
-                    step = np.where(warm[again], _within(n), 0)
-                    first, last = first[again] + step, np.where(warm[again], first[again] + step, last[again])
-                    row = row[again]
-                    own_hash = T.mix(T.rolling_hash(T.prefix_hash(part), width))[first]
-                    h = np.where(warm[again], own_hash, h[again])
-                to = ((h >> np.uint64(16)) % np.uint64(shards)).astype(np.int64).tolist()
-                start = (first - off[row]).tolist()
-                for s, a, z, r, p in zip(to, first.tolist(), last.tolist(), row.tolist(), start, strict=True):
-                    t = raw[a : z + width]
-                    k = found.setdefault(t, len(texts))
-                    if k == len(texts):
-                        texts.append(t)
-                        places.append([])
-                        shard.append(s)
-                    places[k].append((i + r, p))
-            arrays = []
-            for x in places:
-                pair = np.array(x, np.int64)
-                arrays.append(np.concatenate([own_key[pair[:, 0]], pair[:, 1:]], axis=1))
-            if texts:
-                _send(np.array(shard), block_, texts, arrays, out)
+                warm = heat[at[good]] > 0
+                to = ((h[good] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64).tolist()
+                start = (first - off[row])[good].tolist()
+                for s, a, z, r, p, w in zip(to, first[good].tolist(), last[good].tolist(), row[good].tolist(), start, warm.tolist(), strict=True):
+                    if w:
+                        for k in range(z - a + 1):
+                            meet(heated, raw[a + k : a + k + width], i + r, p + k)
+                    else:
+                        t = raw[a : z + width]
+                        shard_of[t] = s
+                        meet(found, t, i + r, p)
+
+            def rows_of(places: list[tuple[int, int]]) -> np.ndarray:
+                pair = np.array(places, np.int64).reshape(-1, 2)
+                return np.concatenate([own_key[rank[pair[:, 0]]], pair[:, 1:]], axis=1)
+
+            def emit(shard: int, **columns: bytes) -> None:
+                for c, x in out.items():
+                    x.append({"shard": shard, "block": block_}.get(c, columns.get(c)))
+
+            texts, at_ = list(found), rows_of(list(found.values()))
+            for s, own in _by_shard(np.array([shard_of[t] for t in texts], np.int64)):
+                emit(s, texts=b"".join(texts[k] for k in own), sizes=np.array([len(texts[k]) for k in own], np.int32).tobytes(), places=_planes(at_[own]))
+            # in reading order, so that the places' planes compress
+            at_ = rows_of(list(heated.values()))
+            digests = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16, key=b"window").digest() for t in heated), np.uint8).reshape(-1, 16)
+            for s, own in _by_shard((digests[:, :8].copy().view(np.uint64).ravel() % np.uint64(shards)).astype(np.int64)):
+                emit(s, places=_planes(at_[own]), digests=_planes(digests[own]))
+            late = np.array(gone, np.int64).reshape(-1, 3)
+            late = _merged(np.concatenate([own_key[late[:, 0]], late[:, 1:]], axis=1))
+            if len(late):
+                emit(-1 - block_, places=_planes(late))
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     def decide(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:  # settled inside its block
+            ranges = [_unplaned(x, 32).tobytes() for x in table.column("places").to_pylist()]
+            return pa.table({"block": table.column("block"), "ranges": pa.array(ranges, pa.binary())})
         all_ = Places()
-        for block_, raw, sizes, counts, where in zip(*(table.column(c).to_pylist() for c in ("block", "texts", "sizes", "counts", "places")), strict=True):
-            at = np.frombuffer(where, np.int64).reshape(-1, 3)
+        hot: list[tuple[np.ndarray, np.ndarray]] = []
+        for block_, raw, sizes, where, digests in zip(*(table.column(c).to_pylist() for c in ("block", "texts", "sizes", "places", "digests")), strict=True):
+            at = _unplaned(where, 24).view(np.int64)
             at = np.concatenate([np.full((len(at), 1), block_), at], axis=1)
-            begin = place = 0
-            for n, c in zip(np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True):
-                all_.add(raw[begin : begin + n], at[place : place + c])
+            if digests is not None:
+                hot.append((_unplaned(digests, 16).view(np.uint64), at))
+                continue
+            begin = 0
+            for k, n in enumerate(np.frombuffer(sizes, np.int32).tolist()):
+                all_.add(raw[begin : begin + n], at[k : k + 1])
                 begin += n
-                place += c
-        got = repeated(*all_.grouped(), width)
-        got = got[np.argsort(got[:, 0], kind="stable")]
-        edges = np.flatnonzero(np.concatenate(([True], got[1:, 0] != got[:-1, 0]))) if len(got) else np.zeros(0, np.int64)
-        ends = [*edges[1:].tolist(), len(got)]
-        return pa.table({"block": pa.array([int(got[i, 0]) for i in edges], pa.int32()), "ranges": pa.array([np.ascontiguousarray(got[i:j, 1:]).tobytes() for i, j in zip(edges.tolist(), ends, strict=False)], pa.binary())})
+        got = repeated(*all_.grouped(), width) if all_.of else np.zeros((0, 5), np.int64)
+        if hot:
+            digest, at = (np.concatenate(x) for x in zip(*hot, strict=True))
+            order = np.lexsort((at[:, 3], at[:, 2], at[:, 1], digest[:, 1], digest[:, 0]))
+            digest, at = digest[order], at[order]
+            later = np.concatenate(([False], (digest[1:] == digest[:-1]).all(axis=1)))
+            got = np.concatenate([got, np.concatenate([at[later], at[later][:, 3:] + width], axis=1)])
+        blocks, ranges = [], []
+        for b, own in _by_shard(got[:, 0]):
+            blocks.append(b)
+            ranges.append(_merged(got[own, 1:]).tobytes())
+        return pa.table({"block": pa.array(blocks, pa.int32()), "ranges": pa.array(ranges, pa.binary())})
 
     sent = rows.select("block", "t").mapInArrow(count, "shard long, block int, blob binary")
-    keys = stored(sent.groupBy("shard").applyInArrow(answer, "block int, keys binary"), paths)
-    moved = rows.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(gather, _SENT)
-    ranges = stored(moved.groupBy("shard").applyInArrow(decide, "block int, ranges binary"), paths)
-    return rows, ranges, paths
+    keys = stored(dealt(sent, "shard", shards).groupBy("shard").applyInArrow(answer, "block int, keys binary"), paths)
+    sides = [dealt(x, "block", n_blocks).groupBy("block") for x in (rows, keys)]
+    moved = sides[0].cogroup(sides[1]).applyInArrow(gather, _SENT)
+    ranges = stored(dealt(moved, "shard", shards).groupBy("shard").applyInArrow(decide, "block int, ranges binary"))
+    drop(spark, paths)
+    return rows, ranges, n_blocks
 
 
 def _kept(docs: pa.Table, ranges: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -401,7 +461,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     kept: the remaining bytes (null without ``texts``); spans: array of [start, end) byte
     ranges that were removed.
     """
-    rows, ranges, _ = find_repeats(documents, id_col, text_col, width, gram, hot)
+    rows, ranges, n_blocks = find_repeats(documents, id_col, text_col, width, gram, hot)
 
     def finish(docs: pa.Table, cut: pa.Table) -> pa.Table:
         n, removed, spans, digest, kept, listed = [], [], [], [], [], []
@@ -417,4 +477,5 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table({"k": docs.column("k"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(listed, span)})
 
     schema = S.StructType([rows.schema["k"], *S.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")])
-    return rows.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(finish, schema).withColumnRenamed("k", id_col)
+    sides = [dealt(x, "block", n_blocks).groupBy("block") for x in (rows, ranges)]
+    return sides[0].cogroup(sides[1]).applyInArrow(finish, schema).withColumnRenamed("k", id_col)

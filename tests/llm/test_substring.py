@@ -62,6 +62,15 @@ def test_small_windows(spark, monkeypatch, hot):
     assert result(remove_repeats(df, width=12, gram=5, hot=hot)) == brute(rows, 12)
 
 
+def test_one_passage_in_many_documents(spark):
+    passage = "the licence of this text permits its use by anybody for any purpose whatever, without a fee or notice at all. "
+    word = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 40)
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(word, F.lit(passage), F.reverse(word)).alias("text"))
+    n = remove_repeats(df).agg(F.sum("n_removed"), F.min("n_removed"), F.max("n_removed"), F.sum((F.col("n_spans") > 0).cast("int"))).first()
+    # neighbours of the passage that are alike in two documents go too
+    assert n[0] >= 99_999 * len(passage) and n[1] == 0 and n[2] < len(passage) + 30 and n[3] == 99_999
+
+
 def test_edges(spark):
     long = "".join(random.Random(1).choices("abcdefgh ", k=300_000))
     rows = [(1, long), (2, long[1000:1250]), (3, long[500:560]), (3, long[500:560]), (4, long[:200]), (4, long[:200]), (None, long[:150])]
