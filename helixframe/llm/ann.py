@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample (``SAMPLE`` vectors by a hash of the id) the graph of nearest
+On a bounded sample (``SAMPLE`` vectors at most, by a hash of the id) the graph of nearest
 neighbours is cut into balanced parts, and a small classifier learns to name the part of
-a vector. Every row is then stored in the part it is told, and a query visits its most
-probable parts until their probabilities reach a mass that was found on the sample to
-give ``TARGET`` recall; the candidates there are ranked by their exact inner product.
-
-Parts are held in blocks of ``BLOCK`` rows and queries in blocks of as many, so neither a
-hot part nor a repeated vector ends in one task. Vectors that are null, zero, hold null
-or non-finite components, or differ in length from the sample's usual length take no
-part; so do rows with a null id. Fewer candidates than k give fewer rows; ties go to the
-smaller id; a row that repeats id and vector counts once, and never as their own query's neighbour.
+a vector. There are half as many parts as the square root of the number of vectors, from 2
+to ``MOST_PARTS``. Every row is then stored in the part it is told, and a query visits its
+most probable parts until their probabilities reach a mass; the candidates there are ranked
+by their exact inner product. The mass is the one that gave ``TARGET`` recall on rows of the
+sample that were held back from the partition and the classifier.
+
+Parts are held in blocks of ``BLOCK`` rows and the queries of a part in blocks of as many,
+so neither a hot part nor a repeated vector ends in one task; a vector is copied once for
+each block of queries that visit its own part. Vectors that are null, zero, hold null or
+non-finite components, or differ in length from the sample's usual length take no part; so
+do rows with a null id. Fewer candidates than k give fewer rows; ties go to the smaller id;
+a row that repeats id and vector counts once, and never as their own query's neighbour.
+An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, drop
 from ._spark import stored as stored_table
 
-SAMPLE = 6_000
-TARGET = 0.985
+#: Most sampled vectors; rows of the sample for each part.
+SAMPLE, PER_PART = 24_000, 40
+LEAST_SAMPLE, MOST_PARTS = 6_000, 512
+TARGET = 0.95
 BLOCK = 16_384
 HIDDEN = 64
 NEAR = 10
@@ -58,6 +64,11 @@ class Router:
         return [o[:k] for o, k in zip(order, np.minimum(n, p.shape[1]), strict=True)]
 
 
+def visited_share(router: Router, x: np.ndarray) -> float:
+    """Mean share of the parts that queries visit."""
+    return float(np.mean([len(v) for v in router.visits(x)]) / router.w2.shape[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
@@ -114,27 +125,33 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, seed: int = 3)
 
 
 def fit_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
-    """Partition the sample, fit the classifier to parts of rows and their neighbours, find the mass."""
+    """Partition four fifths of the sample, fit the classifier to parts of rows and their neighbours,
+    find the mass on the other fifth."""
     dim = x.shape[1]
     rng = np.random.default_rng(seed)
+    held = np.arange(len(x)) % 5 == 4
+    if held.sum() < 50:
+        held[:] = False
+    x, apart = x[~held], x[held] if held.any() else x
     k = min(NEAR, len(x) - 1)
+    parts = min(parts, len(x) // 8)
     if parts < 2 or k < 1:
         return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
     graph = neighbour_graph(x, k)
     label = balanced_parts(x, graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.arange(len(x)), label), k)
-    np.add.at(target, (np.repeat(np.arange(len(x)), k), label[graph].ravel()), 1)
-    target /= target.sum(axis=1, keepdims=True)
     unit = _unit(x)
     params = [rng.normal(0, dim**-0.5, (dim, HIDDEN)) * 2, np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, 1201):
         pick = rng.integers(0, len(x), 256)
+        # half the weight on a row's own part, half on its neighbours'
+        d = np.zeros((len(pick), parts))
+        np.add.at(d, (np.arange(len(pick)), label[pick]), -0.5)
+        np.add.at(d, (np.repeat(np.arange(len(pick)), k), label[graph[pick]].ravel()), -0.5 / k)
         h = np.maximum(unit[pick] @ params[0] + params[1], 0)
         z = h @ params[2] + params[3]
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (p / p.sum(axis=1, keepdims=True) - target[pick]) / len(pick)
+        d = (d + p / p.sum(axis=1, keepdims=True)) / len(pick)
         back = (d @ params[2].T) * (h > 0)
         for i, g in enumerate((unit[pick].T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
             g = g + 1e-5 * params[i]
@@ -142,13 +159,14 @@ def fit_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - 0.01 * (1 - t / 1300) * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-9)
     router = Router(*params, 1.0)
-    p = router.probabilities(x)
-    stored = p.argmax(axis=1)
+    p = router.probabilities(apart)
+    told = p.argmax(axis=1)
     order = np.argsort(-p, axis=1, kind="stable")
     before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
     rank = np.argsort(order, axis=1)
     # a neighbour is found if the mass of the parts visited before its own is below the router's
-    needed = np.take_along_axis(before, np.take_along_axis(rank, stored[graph], axis=1), axis=1).ravel()
+    near = neighbour_graph(apart, min(k, len(apart) - 1))
+    needed = np.take_along_axis(before, np.take_along_axis(rank, told[near], axis=1), axis=1).ravel()
     router.mass = float(min(1.0, np.quantile(needed, TARGET) + 1e-9))
     return router
 
@@ -198,11 +216,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     paths: list = []
     rows = stored_table(rows.dropDuplicates(["id", "v"]), paths)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(SAMPLE).collect()
-    dim = Counter(len(r["v"]) for r in sample).most_common(1)[0][0] if sample else 1
-    x = np.array([r["v"] for r in sample if len(r["v"]) == dim], float).reshape(-1, dim)
-    parts = parts or int(np.clip(n // 2_000, 1, 128))
-    router = fit_router(x, min(parts, max(1, len(x) // 20)))
+    parts = parts or int(np.clip(round(n**0.5 / 2), 2, MOST_PARTS))
+    size = int(np.clip(PER_PART * parts, LEAST_SAMPLE, SAMPLE))
+    sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(size).select("v").toArrow().column("v").combine_chunks()
+    lengths = sample.value_lengths().to_numpy()
+    dim = Counter(lengths.tolist()).most_common(1)[0][0] if len(lengths) else 1
+    x = sample.filter(pa.array(lengths == dim)).flatten().to_numpy().reshape(-1, dim)
+    router = fit_router(x, parts)
     rows = rows.where(F.size("v") == dim)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +242,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     # routed once: three plans read it
     routed = stored_table(rows.mapInArrow(route, "id long, raw binary, part int, visits array<int>"))
     drop(vectors.sparkSession, paths)
-    sizes = routed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    asking = 1 + n // every // BLOCK
-    placed = routed.select("id", "raw", "part").join(F.broadcast(sizes), "part")  # one row for each part: 128 at most
-    stored = placed.select("part", F.pmod(F.xxhash64("id", "raw", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("qblock"), "id", "raw", F.lit(False).alias("asks"))
-    queries = routed.where("visits is not null").select("id", "raw", F.explode("visits").alias("part")).join(F.broadcast(sizes), "part")
-    queries = queries.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(asking)).cast("int").alias("qblock"), "id", "raw", F.lit(True).alias("asks"))
+    held = routed.groupBy("part").agg(F.count("*").alias("c"))
+    asked = routed.where("visits is not null").select(F.explode("visits").alias("part")).groupBy("part").agg(F.count("*").alias("q"))
+    # one row for each part: MOST_PARTS at most
+    sizes = F.broadcast(held.join(asked, "part").select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("asking")))
+
+    def all_of(c: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    stored = routed.join(sizes, "part").select("part", F.pmod(F.xxhash64("id", "raw", F.lit(1)), F.col("blocks")).cast("int").alias("block"), all_of("asking").alias("qblock"), "id", "raw", F.lit(False).alias("asks"))
+    queries = routed.where("visits is not null").select("id", "raw", F.explode("visits").alias("part")).join(sizes, "part")
+    queries = queries.select("part", all_of("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("asking")).cast("int").alias("qblock"), "id", "raw", F.lit(True).alias("asks"))
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
