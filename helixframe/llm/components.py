@@ -19,9 +19,11 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", keep: list | None = None) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
+    ``keep`` collects the path of the table that the result reads, for drop().
+
     Self-loops, nulls, repeated and reversed edges are allowed; self-loops and nulls
     add no node. No edges give no rows.
     """
@@ -43,4 +45,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         drop(spark, old)
         if state == before:
             break
+    if keep is not None:
+        keep += now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())

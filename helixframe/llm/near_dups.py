@@ -9,19 +9,22 @@ sequence; no words: empty and linked with nothing). The steps:
 2. Bands of registers are hashed. Every Arrow batch links the members of a bucket to
    the batch's smallest id and hands only that id on, so a bucket that holds a third
    of all rows reaches the next task as one row for each batch.
-3. Each candidate is checked with the leader it shares most bands with, by comparing
-   full sets. Verified links are closed to components.
+3. Each candidate is paired with the leader it shares most bands with. Pairs whose joint
+   maximum-likelihood estimate of the similarity is ``SIGMAS`` standard errors below the
+   threshold drop out, the others are verified on full sets. Verified links are closed to
+   components.
 4. Candidate groups that still hold several components are compared further: members
    outside the group's main component, in blocks, against the group's members in
-   blocks. A task skips pairs that are connected already, and by the joint
-   maximum-likelihood estimate of the similarity those that are ``SIGMAS`` standard
-   errors below the threshold; the others are checked there on full sets. So no link between different texts is lost but
-   by the chance of the bands (below 1e-6 for a pair at the threshold) and of the
-   estimate (5 standard errors).
-
-Rows with a null id have a set but take no part in links: their component is null and
-they are kept. Rows that share an id are one node, whose set is that with the least
-digest. An empty table gives no rows; other columns are ignored.
+   blocks. A task skips pairs that are connected already, and by the likelihood those that
+   are as far below the threshold; the others are verified there on full sets. So no link
+   between different texts is lost but by the chance of the bands (below 1e-6 for a pair at
+   the threshold) and of the estimate (5 standard errors).
+
+Ids must be whole numbers. Rows with a null id have a set but take no part in links: their
+component is null and they are kept. Rows that share an id are one node, whose set is that
+with the least digest. Null and empty texts have no set and are kept. An empty table gives
+no rows; other columns, whatever their names, are ignored. A very long text is held whole
+in one task, with about 40 bytes for each of its words beside it.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import bounded_batches, stored
+from ._spark import bounded_batches, dealt, drop, stored
 from .components import components
 
 WORDS = 5
@@ -47,8 +50,9 @@ RATE = 20.0
 BANDS, ROWS = 40, 4
 #: Band keys that meet in one task of step 2.
 SHARD_KEYS = 400_000
-#: Documents in a block of step 4.
-BLOCK = 2048
+#: Documents and shingles in a block of step 4; salts of a candidate group.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+SALTS = 32
 SIGMAS = 5.0
 _TOP = 65535
 
@@ -201,7 +205,7 @@ def _counted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(n)], names=["a", "b", "n"])
 
 
-def _star_links(buckets: DataFrame) -> DataFrame:
+def _star_links(buckets: DataFrame, shards: int) -> DataFrame:
     """(a, b, n): candidate links of members to leaders, with the number of bands."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -218,7 +222,7 @@ def _star_links(buckets: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield _counted(*_pairs(b.column(0).to_pylist()))
 
-    across = buckets.where("shard >= 0").groupBy("shard").applyInArrow(merge, "a long, b long, n long")
+    across = dealt(buckets.where("shard >= 0"), "shard", shards).groupBy("shard").applyInArrow(merge, "a long, b long, n long")
     within = buckets.where("shard < 0").select("blob").mapInArrow(inner, "a long, b long, n long")
     return across.union(within).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -250,6 +254,29 @@ def linked(first: np.ndarray, second: np.ndarray, percent: int = PERCENT) -> boo
     return 100 * both >= percent * (len(first) + len(second) - both)
 
 
+def _least(n: int) -> float:
+    """The estimate from ``n`` registers below which a pair is surely under the threshold."""
+    t = PERCENT / 100
+    return t - SIGMAS * (t * (1 - t) / n) ** 0.5
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity does not exclude a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = [b.column(k).to_numpy().astype(float) for k in (2, 3)]
+            regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in (4, 5)]
+            good = estimate(*regs, *n) >= _least(regs[0].shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    sides = [reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -263,26 +290,40 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _more_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of a candidate group.
+def _open_members(members: DataFrame, paths: list) -> DataFrame:
+    """(grp, id, outside, comp, n_shingles, block, blocks) of groups that hold several components.
 
-    members: grp, id, comp, n_shingles, sketch, shingles of groups that hold several
-    components. The component with most members is the group's main one; only pairs with
-    a member outside it are looked at, as (block of those) x (block of all). A task skips
-    pairs that are connected already, by then, and pairs whose estimate is clearly below
-    the threshold, compares the full sets of the others, and returns only the links that
-    joined components: no pair becomes a row.
+    members: grp, id, comp, n_shingles. The component with most members is the group's main
+    one. Rows meet their group's figures by (grp, salt), as one group may hold a third of all.
+    """
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(SALTS)).cast("int"))
+    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    figures = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = F.ceil(F.greatest(F.col("n_all") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    known = salted.select("grp", "salt").distinct().join(figures, "grp").select("grp", "salt", "main", blocks.alias("blocks"))
+    placed = salted.join(known, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return stored(placed.select("grp", "id", (F.col("comp") != F.col("main")).alias("outside"), "comp", "n_shingles", "block", "blocks"), paths)
+
+
+def _more_links(placed: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a candidate group of _open_members().
+
+    Only pairs with a member outside the main component are looked at, as (block of those) x
+    (block of all). Sketches and sets are joined by id, when the rows know their tasks. A
+    task skips pairs that are connected already, by then, and pairs whose estimate is
+    clearly below the threshold, compares the full sets of the others, and returns only the
+    links that joined components: no pair becomes a row.
     """
-    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"))
-    placed = members.join(main, "grp").withColumn("blocks", F.ceil(F.col("n_all") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = placed.select("grp", "block", "blocks", "id", "comp", "n_shingles", "sketch", "shingles", (F.col("comp") != F.col("main")).alias("outside"))
-    asking = every.where("outside")
-    tasks = asking.select("grp", F.col("block").alias("qb"), "blocks").distinct().select("grp", "qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ab"))
-    names = ["grp", "qb", "ab", "id", "comp", "n_shingles", "sketch", "shingles"]
-    left = asking.withColumnRenamed("block", "qb").join(tasks, ["grp", "qb"])
-    right = every.withColumnRenamed("block", "ab").join(tasks, ["grp", "ab"])
+    asking = placed.where("outside").select("grp", F.col("block").alias("qb"), "blocks").distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.where("outside").select("grp", F.col("block").alias("qb"), every.alias("ab"), "id", "comp", F.lit(True).alias("asks"))
+    asked = asking.groupBy("grp").agg(F.collect_set("qb").alias("qbs"))  # one number for each block of a group
+    salt = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(SALTS)).cast("int")
+    salted = placed.withColumn("salt", salt)
+    known = salted.select("grp", "salt").distinct().join(asked, "grp")
+    right = salted.join(known, ["grp", "salt"]).select("grp", F.explode("qbs").alias("qb"), F.col("block").alias("ab"), "id", "comp", F.lit(False).alias("asks"))
+    sides = left.union(right).join(reps.select("id", "n_shingles", "sketch"), "id").join(sets, "id")
+    sides = sides.select("grp", "qb", "ab", "id", "comp", "n_shingles", "sketch", "shingles", "asks")
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks")
@@ -294,8 +335,7 @@ def _more_links(members: DataFrame) -> DataFrame:
             full = [np.frombuffer(s, np.uint64) for s in y.column("shingles").to_pylist()]
             label = comps.copy()
             of = {int(c): int(c) for c in comps}  # where an asking member's component stands now
-            t = PERCENT / 100
-            least = t - SIGMAS * np.sqrt(t * (1 - t) / regs.shape[1])
+            least = _least(regs.shape[1])
             for i, c, n, r, s in zip(*(x.column(k).to_pylist() for k in ("id", "comp", "n_shingles", "sketch", "shingles")), strict=True):
                 own = of.get(c, c)
                 near = np.flatnonzero((label != own) & (100 * np.minimum(sizes_, n) >= PERCENT * np.maximum(sizes_, n)))
@@ -316,7 +356,6 @@ def _more_links(members: DataFrame) -> DataFrame:
                         of[c] = own
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sides = left.select(*names, F.lit(True).alias("asks")).union(right.select(*names, F.lit(False)))
     return sides.groupBy("grp", "qb", "ab").applyInArrow(compare, "a long, b long")
 
 
@@ -332,24 +371,37 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     reps = stored(sketches.join(nodes.where("id = rep").select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]), paths)
     n = reps.count()
     shards = shards or max(8, -(-n * BANDS // SHARD_KEYS))
-    stars = stored(_star_links(_buckets(reps, shards)), paths)
+    stars = stored(_star_links(_buckets(reps, shards), shards), paths)
     sets = stored(_full_sets(rows, stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), reps), paths)
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    good = stored(_verified(best, sets), paths)
-
-    groups = components(stars)
-    comps = components(good)
-    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    split = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    open_ = members.join(split, "grp", "left_semi").join(reps, "id").join(sets, "id")
-    more = stored(_more_links(open_.select("grp", "id", "comp", "n_shingles", "sketch", "shingles")), paths)
-    final = components(good.union(more)).select(F.col("node").alias("rep"), "component")
+    good = stored(_verified(_likely(best, reps), sets), paths)
+
+    groups = components(stars, keep=paths)
+    comps = components(good, keep=paths)
+    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+    members = members.join(reps.select("id", "n_shingles"), "id").select("grp", "id", F.coalesce("component", "id").alias("comp"), "n_shingles")
+    more = stored(_more_links(_open_members(members, paths), reps, sets), paths)
+    final = components(good.union(more), keep=paths).select(F.col("node").alias("rep"), "component")
     placed = nodes.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles").join(placed, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+    out = stored(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")))
+    drop(spark, paths)
+    return out
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with one row of each group: its smallest id; all columns stay."""
-    gone = near_duplicates(documents, id_col, text_col).where("not kept").select(F.col(id_col)).distinct()
-    return documents.join(gone, id_col, "left_anti").select(*documents.columns)
+    """``documents`` with one row of each group: its smallest id; all columns stay.
+
+    Rows that repeat an id count as one document, of which the row with the least digest of
+    its text stays. Rows with a null id all stay.
+    """
+    found = near_duplicates(documents, id_col, text_col)
+    gone = found.where("not kept").select(id_col).distinct()
+    kept = documents.join(gone, id_col, "left_anti").select(*documents.columns)
+    # most tables repeat no id: texts are then not shuffled for it
+    twice = stored(documents.groupBy(F.col(id_col)).agg(F.count("*").alias("__n")).where("__n > 1").where(F.col(id_col).isNotNull()).select(id_col))
+    if twice.isEmpty():
+        return kept
+    first = Window.partitionBy(F.col(id_col)).orderBy(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    again = kept.join(twice, id_col, "left_semi").select(*documents.columns).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.join(twice, id_col, "left_anti").select(*documents.columns).union(again)

@@ -1,9 +1,14 @@
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from helixframe.llm import decontaminate as dc
+from helixframe.llm import lm_score
 from helixframe.llm.decontaminate import decontaminate, find_contamination
 from helixframe.llm.near_dups import drop_near_duplicates, near_duplicates
 from helixframe.llm.queries import op3_decontaminate, op9_token_counts, op10_near_dups
@@ -52,7 +57,34 @@ def test_near_duplicates_repeats_nulls_empty(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     extra = frame(spark, rows).withColumn("component_id", F.lit(1)).withColumn("id", F.lit("z"))
     kept = drop_near_duplicates(extra)
-    assert kept.columns == extra.columns and kept.count() == 3
+    assert kept.columns == extra.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "None"]
+    unlike = frame(spark, [(5, "a b c d e f"), (5, "g h i j k"), (6, "a b c d e f"), (7, None), (7, None)])
+    assert sorted(r.doc_id for r in drop_near_duplicates(unlike).collect()) in ([5, 7], [5, 6, 7])
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that collide under every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one, two = thue_morse(11)
+    assert len(one) == 2048 and one != two
+    both = frame(spark, [(1, one), (2, two)])
+    assert [(r.component_id, r.kept) for r in near_duplicates(both).orderBy("doc_id").collect()] == [(1, True), (2, True)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, [(1, one), (2, two), (3, f"{one} {two}")]), path).collect()}
+    assert got == {k: len(tokenizer.encode(t, add_special_tokens=False)) for k, t in ((1, one), (2, two), (3, f"{one} {two}"))}
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1][0]
+    scores = lm_score.score_held_out(frame(spark, [(held, two), (held + 1, one)])).collect()
+    assert {r.doc_id: r.n_known for r in scores}[held] == 1
+    items = spark.createDataFrame([(7, two)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in dc.find_contamination(both, items).collect()} == {1: 0, 2: 1}
 
 
 def test_decontaminate_brute(spark):
@@ -79,6 +111,33 @@ def test_decontaminate_edges(spark, block):
     assert left.columns == extra.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 6, 7]
 
 
+def test_decontaminate_repeated_and_unnamed_items(spark):
+    rows, text = frame(spark, [(1, "x a b c y"), (2, "q r")]), "item_id string, text string"
+    items = frame(spark, [("7", "a b c"), ("7", "a b c"), ("7", "a b"), (None, "b c"), ("8", "r")], text)
+    for block in (16 << 20, 4):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids) for r in find_contamination(rows, items, block_bytes=block).collect()}
+        assert got == {1: (3, 2, ["7", None]), 2: (1, 1, ["8"])}
+
+
+def test_suffix_order_is_complete():
+    rng = random.Random(5)
+    for _ in range(30):
+        runs = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))] for _ in range(rng.randrange(1, 6))]
+        number = [x for r in runs for x in r]
+        left = [k for r in runs for k in range(len(r), 0, -1)]
+        order, keys = dc.suffix_array(np.array(number), np.array(left), 4)
+        want = sorted(range(len(number)), key=lambda c: (number[c : c + left[c]], c))
+        assert order.tolist() == want and len(keys) == len(number)
+
+
+def test_longest_matches_of_items(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "z w3 w4 w5 z"), (2, "w8 " + " ".join(f"W{k}" for k in range(4, 27)) + " z"), (3, None)]
+    items = frame(spark, [(1, item), (2, "z z z z z z z z z z z"), (3, "none of these")], "item_id long, text string")
+    got = {r.item_id: (r.length, r.item_start, r.doc_id, r.doc_start) for r in dc.longest_matches(frame(spark, rows), items).collect()}
+    assert got == {"1": (23, 4, 2, 1), "2": (1, 0, 1, 0)}
+
+
 def test_longest_match(spark):
     item = " ".join(f"w{k}" for k in range(30))
     doc = "z " + " ".join(f"w{k}" for k in range(3, 20)) + " z"
@@ -87,8 +146,6 @@ def test_longest_match(spark):
 
 
 def test_token_counts(spark):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op9_token_counts(spark, SF).collect()}
     for i, text in docs(spark):
