@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, drop
+from ._spark import bounded_batches, dealt, drop
 from ._spark import stored as stored_table
 
 #: Most sampled vectors; rows of the sample for each part.
@@ -36,6 +36,8 @@ SAMPLE, PER_PART = 24_000, 40
 LEAST_SAMPLE, MOST_PARTS = 6_000, 512
 TARGET = 0.95
 BLOCK = 16_384
+#: Lists of hits that one task merges.
+MERGED_LISTS = 20_000
 HIDDEN = 64
 NEAR = 10
 
@@ -245,7 +247,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     held = routed.groupBy("part").agg(F.count("*").alias("c"))
     asked = routed.where("visits is not null").select(F.explode("visits").alias("part")).groupBy("part").agg(F.count("*").alias("q"))
     # one row for each part: MOST_PARTS at most
-    sizes = F.broadcast(held.join(asked, "part").select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("asking")))
+    sizes = F.broadcast(held.join(asked, "part").select("part", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("asking"), "q"))
 
     def all_of(c: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -264,15 +266,30 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         else:
             r, f, s = top(m[asks], ids[asks], ids[~asks], m[~asks], k)
             q = ids[asks][r]
-        # one row for each query (a repeated id asks more than once): its hits, nearest first
+        # one row for each query (a repeated id asks more than once): its hits
         edge = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-        hits = pa.StructArray.from_arrays([pa.array(-s, pa.float64()), pa.array(f, pa.int64())], names=["d", "id"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(r)), pa.int32()), hits)
-        return pa.table({"query_id": pa.array(q[edge], pa.int64()), "part": pa.array(np.full(len(edge), table.column("part")[0].as_py()), pa.int32()), "hits": lists})
-
-    found = stored.union(queries).groupBy("part", "block", "qblock").applyInArrow(search, "query_id long, part int, hits array<struct<d:double,id:long>>")
-    # lists of k hits are merged within a part, then over parts
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k).alias("hits")
-    best = found.groupBy("query_id", "part").agg(merged).groupBy("query_id").agg(merged)
-    ranked = best.select("query_id", F.posexplode("hits").alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.d")).alias("score"))
+        ends = pa.array(np.append(edge, len(r)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (s, f)]
+        return pa.table({"query_id": pa.array(q[edge], pa.int64()), "scores": lists[0], "ids": lists[1]})
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [table.column(c).combine_chunks() for c in ("scores", "ids")]
+        q = np.repeat(table.column("query_id").to_numpy(), lists[0].value_lengths().to_numpy())
+        s, f = (x.flatten().to_numpy() for x in lists)
+        order = np.lexsort((f, -s, q))
+        q, s, f = q[order], s[order], f[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (f[1:] != f[:-1])
+        q, s, f = q[new], s[new], f[new]
+        begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q)))) + 1
+        best = rank <= k
+        return pa.table({"query_id": q[best], "rank": pa.array(rank[best], pa.int32()), "id": f[best], "score": s[best]})
+
+    found = stored.union(queries).groupBy("part", "block", "qblock").applyInArrow(search, "query_id long, scores array<double>, ids array<long>")
+    # a query's lists, one for each block that it visits, meet in one of as many tasks as they need
+    lists = sizes.agg(F.coalesce(F.sum(F.col("q") * F.col("blocks")), F.lit(0))).first()[0]
+    tasks = 1 + int(lists) // MERGED_LISTS
+    shard = F.pmod(F.xxhash64("query_id"), F.lit(tasks)).alias("shard")
+    merged = dealt(found.select("*", shard), "shard", tasks).groupBy("shard").applyInArrow(merge, "query_id long, rank int, id long, score double")
+    return merged.withColumnRenamed("id", id_col)
