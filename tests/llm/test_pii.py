@@ -127,3 +127,16 @@ def test_rest_of_a_candidate(spark):
     df = spark.sql(f"SELECT cast(struct(5, 31, '10.0.0.1 (212)555-0199 -4 1', 'see: ', '; é') AS {span}) AS c, array(struct(5 AS start, 13 AS end), struct(29 AS start, 31 AS end)) AS t")
     got = df.select(pii.rest(F.col("c"), F.col("t"), "number").alias("r")).head().r
     assert [tuple(x) for x in got] == [(14, 27, "(212)555-0199", "see: 10.0.0.1 ", " -4 ")]
+
+
+def test_many_matches_in_one_text(spark):
+    ips = [f"10.{k // 65536}.{k // 256 % 256}.{k % 256}" for k in range(30_000)]
+    rows = [(0, "\n".join(ips)), (1, " ".join(ips)), (2, "\n".join(f"{x} (212) 555-0199" for x in ips[:5_000]))]
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0].text == "\n".join(["[IP]"] * 30_000) and got[1].text == " ".join(["[IP]"] * 30_000)
+    assert got[2].text == "\n".join(["[IP] [NUMBER]"] * 5_000)
+
+
+def test_long_masked_address(spark):
+    rows = [(0, f"write {'a' * 500} [at] {'b' * 300} [dot] {'c' * 100} [dot] d [dot] e [dot] f [dot] com")]
+    assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).first().text == "write [MASKED]"
