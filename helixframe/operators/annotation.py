@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.consequence import rank
+
 
 def colocated(variants: DataFrame, known: DataFrame, failed: int = 0) -> DataFrame:
     """Left join of known variants at the same place with the same alleles; failed <= N only.
@@ -55,8 +55,10 @@ def cdna_position(position: Column, e_start: Column, e_end: Column, strand: Colu
 
 
 def pick(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key in a total, ascending order (nulls first); each task keeps one row of a key before the shuffle."""
+    own = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*own), F.struct(*order)).alias("__row"))
+    return best.select(*key, *[F.col("__row")[c].alias(c) for c in own]).select(*rows.columns)
 
 
 def unique_backfill(rows: DataFrame, symbol: str, identifier: str) -> DataFrame:
@@ -65,8 +67,12 @@ def unique_backfill(rows: DataFrame, symbol: str, identifier: str) -> DataFrame:
     return rows.join(known.select(symbol, "__id"), symbol, "left").withColumn(identifier, F.coalesce(identifier, "__id")).drop("__id")
 
 
-def compare(left: DataFrame, right: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """One row for each key and field of a full outer join: verdict match, order_only, mismatch, left_only or right_only."""
+def compare(left: DataFrame, right: DataFrame, key: list[str], fields: list[str] | None = None) -> DataFrame:
+    """One row for each key and field of a full outer join: verdict match, order_only, mismatch, left_only or right_only.
+
+    Without ``fields`` those that both sides have.
+    """
+    fields = fields if fields is not None else [c for c in common_columns(left, right) if c not in key]
     a = left.select(*key, *[F.col(f).alias(f"__a_{f}") for f in fields], F.lit(True).alias("__in_a"))
     b = right.select(*key, *[F.col(f).alias(f"__b_{f}") for f in fields], F.lit(True).alias("__in_b"))
     both = a.join(b, key, "full_outer")
@@ -85,62 +91,83 @@ def match_rates(compared: DataFrame) -> DataFrame:
     return rows.withColumn("match_rate", F.when(seen > 0, F.round((F.col("match") + F.col("order_only")) / seen, 4)))
 
 
-def _gained(a: Column, b: Column, term: str) -> Column:
-    return F.contains(a, F.lit(term)) & ~F.contains(b, F.lit(term))
-
-
-#: Root causes of differing consequences in the order in which they are tried.
-_CAUSES: list[tuple[str, str, str]] = [
-    ("stop_gained_extra", "a", "stop_gained"),
-    ("stop_gained_missing", "b", "stop_gained"),
-    ("stop_lost_extra", "a", "stop_lost"),
-    ("stop_lost_extra", "b", "stop_lost"),
-    ("start_retained_missing", "b", "start_retained_variant"),
-    ("protein_altering", "b", "protein_altering_variant"),
-]
-
-
-def consequence_cause(a: Column, b: Column) -> Column:
-    """Why two &-joined term lists differ: one of eleven causes or other."""
-    retained = _gained(a, b, "stop_retained_variant")
-    has = lambda x, term: F.contains(x, F.lit(term))
-    rules = [
-        (retained & has(a, "inframe_insertion") & has(b, "frameshift_variant"), "inframe_vs_frameshift"),
-        (retained & has(a, "incomplete_terminal_codon"), "incomplete_terminal"),
-        (retained, "stop_retained_extra"),
-        *[(_gained(a, b, term) if who == "a" else _gained(b, a, term), name) for name, who, term in _CAUSES],
-        (has(a, "incomplete_terminal_codon"), "incomplete_terminal"),
-        (_gained(a, b, "mature_miRNA_variant"), "mirna_overlap"),
-        (has(a, "synonymous_variant") & has(b, "coding_sequence_variant"), "incomplete_terminal"),
-        (has(b, "inframe_insertion") & has(b, "stop_retained") & has(a, "frameshift"), "inframe_vs_frameshift"),
-        (_gained(b, a, "frameshift_variant"), "frameshift_missing"),
-    ]
-    first = reduce(lambda w, r: w.when(*r), rules[1:], F.when(*rules[0]))
-    return first.otherwise("other")
-
-
-def mismatch_cluster(field: Column, a: Column, b: Column, ordering: Column | None = None, retained: Column | None = None, lookup: Column | None = None) -> Column:
-    """Cluster C1 to C12 of a differing field; the conditions mark variants known to reorder, retain or miss lookups."""
-    empty_a, empty_b = a == "", b == ""
-    dup = lambda x: F.contains(x, F.lit("dup"))
-    ins = lambda x: F.contains(x, F.lit("ins"))
-    is_ = lambda name: field == name
-    step = F.abs(a.try_cast("int") - b.try_cast("int")) <= 1
-    rules = [
-        (F.coalesce(ordering, F.lit(False)) if ordering is not None else F.lit(False), "C1"),
-        (is_("Consequence") & _gained(a, b, "start_retained_variant"), "C2"),
-        (F.coalesce(retained, F.lit(False)) if retained is not None else F.lit(False), "C2"),
-        (F.coalesce(lookup, F.lit(False)) if lookup is not None else F.lit(False), "C7"),
-        ((F.startswith(field, F.lit("gnomAD")) | field.isin("MAX_AF", "MAX_AF_POPS")) & empty_a & ~empty_b, "C7"),
-        (field.isin("SIFT", "PolyPhen"), "C8"),
-        (is_("miRNA"), "C11"),
-        (is_("DISTANCE") & F.coalesce(step, F.lit(False)), "C9"),
-        (is_("DISTANCE"), "C1"),
-        (is_("HGVS_OFFSET"), "C10"),
-        (is_("HGVSc") & (empty_a != empty_b), "C3"),
-        (is_("HGVSp") & ((dup(a) & (dup(b) | ins(b))) | (ins(a) & dup(b))), "C4"),
-        (is_("HGNC_ID") & ~(empty_a & empty_b), "C6"),
-        (is_("Consequence") & (F.contains(a, F.lit("incomplete_terminal_codon")) | F.contains(b, F.lit("incomplete_terminal_codon"))), "C12"),
-        (is_("HGVSp") & (empty_a | empty_b), "C3"),
-    ]
-    return reduce(lambda w, r: w.when(*r), rules[1:], F.when(*rules[0])).otherwise("C5")
+#: What a term is about. A change is named after the groups of the terms that came and went.
+TERM_GROUPS = {
+    "structure": "transcript_ablation transcript_amplification feature_elongation feature_truncation",
+    "splicing": "splice_acceptor_variant splice_donor_variant splice_donor_5th_base_variant splice_region_variant splice_donor_region_variant splice_polypyrimidine_tract_variant",
+    "start": "start_lost start_retained_variant",
+    "stop": "stop_gained stop_lost stop_retained_variant",
+    "frame": "frameshift_variant inframe_insertion inframe_deletion",
+    "residues": "missense_variant protein_altering_variant synonymous_variant incomplete_terminal_codon_variant coding_sequence_variant coding_transcript_variant",
+    "untranslated": "5_prime_UTR_variant 3_prime_UTR_variant intron_variant",
+    "noncoding": "mature_miRNA_variant non_coding_transcript_exon_variant NMD_transcript_variant non_coding_transcript_variant",
+    "surroundings": "upstream_gene_variant downstream_gene_variant intergenic_variant sequence_variant",
+    "regulation": "TFBS_ablation TFBS_amplification TF_binding_site_variant regulatory_region_ablation regulatory_region_amplification regulatory_region_variant",
+}
+GROUP_OF = {term: group for group, terms in TERM_GROUPS.items() for term in terms.split()}
+
+
+def only_in(a: Column, b: Column, by: str = "&") -> Column:
+    """Values of the ``by``-joined list a that b does not have, sorted and joined; null lists are empty."""
+    left, right = (F.split(F.coalesce(x, F.lit("")), by) for x in (a, b))
+    return F.array_join(F.filter(F.array_sort(F.array_except(left, right)), lambda x: x != ""), by)
+
+
+def term_change(a: Column, b: Column) -> dict[str, Column]:
+    """How the &-joined term list b differs from a.
+
+    change: same, gained, lost or replaced; groups: what the differing terms are about;
+    severity: whether the most severe term of b is above (raised) or below (lowered) that of a.
+    """
+    gained, lost = only_in(b, a), only_in(a, b)
+    about = F.create_map(*[F.lit(x) for pair in GROUP_OF.items() for x in pair])
+    differ = F.filter(F.concat(F.split(gained, "&"), F.split(lost, "&")), lambda t: t != "")
+    groups = F.array_join(F.array_sort(F.array_distinct(F.transform(differ, lambda t: F.coalesce(F.try_element_at(about, t), F.lit("unknown"))))), "&")
+    first, second = (F.array_min(F.transform(F.split(x, "&"), rank)) for x in (a, b))
+    change = F.when((gained == "") & (lost == ""), "same").when(lost == "", "gained").when(gained == "", "lost").otherwise("replaced")
+    return {"change": change, "groups": groups, "severity": F.when(second < first, "raised").when(second > first, "lowered").otherwise("level")}
+
+
+#: What an output field tells.
+FIELD_FAMILIES = {
+    "effect": "Consequence IMPACT Codons Amino_acids SIFT PolyPhen DOMAINS miRNA",
+    "place": "EXON INTRON cDNA_position CDS_position Protein_position DISTANCE STRAND MOTIF_POS",
+    "notation": "HGVSc HGVSp HGVS_OFFSET",
+    "known": "Existing_variation CLIN_SIG SOMATIC PHENO PUBMED",
+    "feature": "Allele SYMBOL Gene Feature_type Feature BIOTYPE FLAGS VARIANT_CLASS SYMBOL_SOURCE HGNC_ID CANONICAL ENSP CCDS",
+}
+
+
+def field_family(field: Column) -> Column:
+    of = {f: family for family, fields in FIELD_FAMILIES.items() for f in fields.split()}
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), field)
+    return F.coalesce(named, F.when(F.endswith(field, F.lit("AF")) | F.startswith(field, F.lit("MAX_AF")), "frequency").otherwise("other"))
+
+
+def difference_kind(a: Column, b: Column) -> Column:
+    """How two values of a field differ: by absence, as lists, as numbers, or altogether."""
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    p, q = x.try_cast("double"), y.try_cast("double")
+    more, fewer = only_in(y, x) != "", only_in(x, y) != ""
+    return (
+        F.when(x == y, "equal")
+        .when(x == "", "absent_left")
+        .when(y == "", "absent_right")
+        .when(~more & ~fewer, "order")
+        .when(~fewer, "extended")
+        .when(~more, "shortened")
+        .when(F.abs(p - q) <= 1, "near_number")
+        .when((p - q).isNotNull(), "number")
+        .otherwise("different")
+    )
+
+
+def difference_counts(compared: DataFrame, key: list[str]) -> DataFrame:
+    """(family, kind, n, n_variants) of rows (key, field, a, b): entries and distinct variants of each cluster."""
+    rows = compared.select(*key, field_family(F.col("field")).alias("family"), difference_kind(F.col("a"), F.col("b")).alias("kind")).where("kind <> 'equal'")
+    return rows.groupBy("family", "kind").agg(F.count("*").alias("n"), F.countDistinct(*key).alias("n_variants"))
+
+
+def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
+    """Names that both frames have, in the order of the left one."""
+    return [c for c in left.columns if c in set(right.columns)]

@@ -34,9 +34,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_r
     a = left.withColumns({"__l0": l0, "__l1": l1}).where("__l0 <= __l1")
     b = right.withColumns({"__r0": r0, "__r1": r1}).where("__r0 <= __r1").withColumn("__level2", level)
     # which levels the features use (six at most): variants go to those only
-    used = sorted(x[0] for x in b.select("__level2").distinct().collect())
+    used = b.agg(F.collect_set("__level2")).scalar()
     b = b.withColumn("__bin2", F.explode(F.sequence(_bin(F.col("__r0"), F.col("__level2")), _bin(F.col("__r1"), F.col("__level2")))))
-    a = a.withColumn("__level", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))
+    a = a.withColumn("__levels", used).withColumn("__level", F.explode("__levels")).drop("__levels")
     a = a.withColumn("__bin", F.explode(F.sequence(_bin(F.col("__l0"), F.col("__level")), _bin(F.col("__l1"), F.col("__level")))))
     met = a.join(b, (F.col(on[0]) == F.col(on[1])) & (F.col("__level") == F.col("__level2")) & (F.col("__bin") == F.col("__bin2")))
     met = met.where("__l0 <= __r1 and __l1 >= __r0").where(F.col("__bin") == F.greatest(_bin(F.col("__l0"), F.col("__level")), _bin(F.col("__r0"), F.col("__level"))))

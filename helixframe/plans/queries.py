@@ -244,7 +244,7 @@ def most_severe(spark, sf_dir):
 
 @query(_B + _S + f"SELECT {_K4}, stable_id, b.term FROM b JOIN s USING (term) QUALIFY row_number() OVER (PARTITION BY {_K4} ORDER BY rank, is_canonical DESC, stable_id) = 1")
 def pick_transcript(spark, sf_dir):
-    order = [cq.rank(F.col("term")), F.desc("is_canonical"), F.col("stable_id")]
+    order = [cq.rank(F.col("term")), ~F.col("is_canonical"), F.col("stable_id")]
     return op.pick(basic(spark, sf_dir), KEY, order).select(*KEY, "stable_id", "term")
 
 
@@ -406,26 +406,77 @@ def amp_order_equal(spark, sf_dir):
     return both.select(*KEY, csq.same_terms(F.col("x"), F.col("y")).alias("same"))
 
 
-_PAIRS = [("stop_gained", "missense_variant"), ("missense_variant", "stop_gained"), ("inframe_insertion&stop_retained_variant", "frameshift_variant"), ("stop_retained_variant", "stop_lost"), ("frameshift_variant", "inframe_insertion&stop_retained_variant"), ("synonymous_variant", "coding_sequence_variant"), ("intron_variant", "protein_altering_variant"), ("mature_miRNA_variant", "intron_variant"), ("intron_variant", "start_retained_variant")]
-_CAUSE = ["stop_gained_extra", "stop_gained_missing", "inframe_vs_frameshift", "stop_retained_extra", "inframe_vs_frameshift", "incomplete_terminal", "protein_altering", "mirna_overlap", "start_retained_missing"]
+_TERMS = [t for t, _ in TERMS]
+_AT = {"a1": "start % 41", "a2": "start * 7 % 41", "b1": "start * 3 % 41", "b2": "CASE WHEN start % 2 = 0 THEN start % 41 ELSE start * 7 % 41 END"}
+_PAIRS = f"""pr AS (SELECT start, {", ".join(f"CAST({x} AS INT) AS {n}" for n, x in _AT.items())} FROM v),
+df AS (SELECT *, list_filter([b1, b2], lambda x: NOT list_contains([a1, a2], x)) AS gained, list_filter([a1, a2], lambda x: NOT list_contains([b1, b2], x)) AS lost FROM pr)"""
 
 
-@query("--\nSELECT cause, count(*) AS n, count(DISTINCT start) AS n_positions FROM (SELECT start, CASE start % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_CAUSE)) + " END AS cause FROM v) y GROUP BY cause")
+def _term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of terms for each variant."""
+    at = lambda sql: F.element_at(F.array(*map(F.lit, _TERMS)), (F.expr(sql) + 1).cast("int"))
+    term = {n: at(x) for n, x in _AT.items()}
+    return V.variants(spark, sf_dir).select("start", F.concat_ws("&", term["a1"], term["a2"]).alias("a"), F.concat_ws("&", term["b1"], term["b2"]).alias("b"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+@query(
+    f"""{_PAIRS}
+--
+SELECT change, groups, severity, count(*) AS n, count(DISTINCT start) AS n_positions FROM (SELECT start,
+ CASE WHEN len(gained) + len(lost) = 0 THEN 'same' WHEN len(lost) = 0 THEN 'gained' WHEN len(gained) = 0 THEN 'lost' ELSE 'replaced' END AS change,
+ array_to_string(list_sort(list_distinct(list_transform(list_concat(gained, lost), lambda x: {_sql_list(op.GROUP_OF[t] for t in _TERMS)}[x + 1]))), '&') AS groups,
+ CASE WHEN least(b1, b2) < least(a1, a2) THEN 'raised' WHEN least(b1, b2) > least(a1, a2) THEN 'lowered' ELSE 'level' END AS severity FROM df) y GROUP BY ALL"""
+)
 def classify_mismatch(spark, sf_dir):
-    pairs = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _PAIRS]), (F.col("start") % 9 + 1).cast("int"))
-    rows = V.variants(spark, sf_dir).select("start", pairs.alias("p"))
-    return rows.groupBy(op.consequence_cause(F.col("p.a"), F.col("p.b")).alias("cause")).agg(F.count("*").alias("n"), F.countDistinct("start").alias("n_positions"))
+    rows = _term_pairs(spark, sf_dir)
+    return rows.select("start", *[c.alias(n) for n, c in op.term_change(F.col("a"), F.col("b")).items()]).groupBy("change", "groups", "severity").agg(F.count("*").alias("n"), F.countDistinct("start").alias("n_positions"))
+
+
+@query(
+    f"""{_PAIRS}, nm AS (SELECT start, {", ".join(f"{_sql_list(_TERMS)}[{x} + 1] AS {x}" for x in _AT)} FROM pr)
+--
+SELECT DISTINCT start, array_to_string(list_sort(list_distinct(list_filter([b1, b2], lambda x: x NOT IN (a1, a2)))), '&') AS gained, array_to_string(list_sort(list_distinct(list_filter([a1, a2], lambda x: x NOT IN (b1, b2)))), '&') AS lost FROM nm"""
+)
+def term_set_difference(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _term_pairs(spark, sf_dir).select("start", op.only_in(b, a).alias("gained"), op.only_in(a, b).alias("lost")).distinct()
 
 
-_FIELDS = ["Consequence", "SIFT", "miRNA", "HGVS_OFFSET", "HGVSc", "HGNC_ID", "MAX_AF", "IMPACT"]
-_CLUSTER = ["C5", "C8", "C11", "C10", "C3", "C6", "C7", "C5"]
+_CLUSTERED = {
+    0: ("Consequence", "'x&y'", "CASE start % 3 WHEN 0 THEN 'y&x' WHEN 1 THEN 'x' ELSE 'z' END"),
+    1: ("DISTANCE", "CAST(start % 50 AS string)", "CAST(start % 50 + start % 3 AS string)"),
+    2: ("AFR_AF", "CASE WHEN start % 5 = 0 THEN NULL ELSE '0.1' END", "CASE WHEN start % 7 = 0 THEN '' WHEN start % 3 = 0 THEN '0.1' ELSE '2.5' END"),
+    3: ("Existing_variation", "'rs1&rs2'", "CASE start % 7 WHEN 0 THEN 'rs2&rs1' WHEN 1 THEN 'rs1&rs2&rs3' WHEN 2 THEN 'rs2' WHEN 3 THEN 'rs1&rs2' ELSE 'rs9' END"),
+    4: ("HGVSc", "'c.1A>G'", "'c.2A>G'"),
+}
+_FIELD = "CASE start % 5 " + " ".join(f"WHEN {k} THEN {{{k}}}" for k in _CLUSTERED) + " END"
+_PARTS = [_FIELD.format(*parts) for parts in ([f"'{x[0]}'" for x in _CLUSTERED.values()], [x[1] for x in _CLUSTERED.values()], [x[2] for x in _CLUSTERED.values()])]
 
 
-@query("--\nSELECT cluster, count(*) AS n FROM (SELECT CASE start % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_CLUSTER)) + " END AS cluster FROM v) y GROUP BY cluster")
+@query(
+    f"""cl AS (SELECT {_K4}, {_PARTS[0]} AS field, coalesce({_PARTS[1]}, '') AS a, coalesce({_PARTS[2]}, '') AS b FROM v),
+ls AS (SELECT *, list_filter(string_split(b, '&'), lambda x: NOT list_contains(string_split(a, '&'), x)) AS more, list_filter(string_split(a, '&'), lambda x: NOT list_contains(string_split(b, '&'), x)) AS fewer, TRY_CAST(a AS DOUBLE) - TRY_CAST(b AS DOUBLE) AS d FROM cl WHERE a <> b)
+--
+SELECT family, kind, count(*) AS n, count(DISTINCT {" || '|' || ".join(f"CAST({x} AS VARCHAR)" for x in KEY)}) AS n_variants FROM (SELECT {_K4},
+ CASE field WHEN 'Consequence' THEN 'effect' WHEN 'DISTANCE' THEN 'place' WHEN 'AFR_AF' THEN 'frequency' WHEN 'HGVSc' THEN 'notation' ELSE 'known' END AS family,
+ CASE WHEN a = '' THEN 'absent_left' WHEN b = '' THEN 'absent_right' WHEN len(more) + len(fewer) = 0 THEN 'order' WHEN len(fewer) = 0 THEN 'extended' WHEN len(more) = 0 THEN 'shortened' WHEN abs(d) <= 1 THEN 'near_number' WHEN d IS NOT NULL THEN 'number' ELSE 'different' END AS kind FROM ls) y GROUP BY family, kind"""
+)
 def mismatch_clusters(spark, sf_dir):
-    field = F.element_at(F.array(*map(F.lit, _FIELDS)), (F.col("start") % 8 + 1).cast("int"))
-    rows = V.variants(spark, sf_dir).select(field.alias("f"), F.lit("").alias("a"), F.lit("x").alias("b"))
-    return rows.groupBy(op.mismatch_cluster(F.col("f"), F.col("a"), F.col("b")).alias("cluster")).agg(F.count("*").alias("n"))
+    field, a, b = (F.expr(x) for x in _PARTS)
+    return op.difference_counts(V.variants(spark, sf_dir).select(*KEY, field.alias("field"), a.alias("a"), b.alias("b")), KEY)
+
+
+@query("--\nSELECT field, CAST(count(*) AS BIGINT) AS n FROM v CROSS JOIN (SELECT unnest(['QUAL', 'FILTER']) AS field) f WHERE start % 3 = 0 GROUP BY field")
+def common_fields(spark, sf_dir):
+    """Outputs with different columns are compared by those that both have."""
+    v = V.variants(spark, sf_dir)
+    a = v.select(*KEY, F.lit(1).alias("left_only"), F.col("qual").alias("QUAL"), F.col("filter").alias("FILTER"))
+    b = v.select(F.col("filter").alias("FILTER"), F.lit(2).alias("right_only"), F.col("qual").alias("QUAL"), *KEY)
+    return op.compare(a, b, KEY).where("start % 3 = 0 and verdict = 'match'").groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query(_VS + f"\n--\nSELECT * FROM (SELECT concat_ws('|', chrom, start, ref, alt, cons) AS line, 'left' AS side FROM (SELECT {_K4}, cons FROM a1 EXCEPT ALL SELECT {_K4}, cons FROM b1) x UNION ALL SELECT concat_ws('|', chrom, start, ref, alt, cons), 'right' FROM (SELECT {_K4}, cons FROM b1 EXCEPT ALL SELECT {_K4}, cons FROM a1) y) z")

@@ -111,6 +111,55 @@ def test_transcript_terms(spark, tmp_path):
     assert got[14]["TX1"].Consequence == "transcript_ablation"
 
 
+def test_deletions_over_boundaries(spark, tmp_path):
+    def gone(a, b):
+        return ("1", a - 1, GENOME[a - 2 : b], GENOME[a - 2])
+
+    rows = [
+        gone(109, 113),  # two bases before the start codon and the codon
+        gone(110, 111),
+        gone(159, 163),  # end of exon 1 and start of the intron
+        gone(198, 203),  # the other end
+        gone(150, 210),  # a whole intron with both neighbours
+        gone(238, 240),  # the stop codon
+        gone(239, 245),  # its end and what follows
+        gone(235, 242),
+        gone(105, 115),
+        gone(101, 150),
+    ]
+    got = {k: v["TX1"] for k, v in run(spark, tmp_path, rows).items()}
+    assert [got[k].Consequence for k in range(10)] == [
+        "start_lost&5_prime_UTR_variant",
+        "start_lost&5_prime_UTR_variant",
+        "splice_donor_variant&coding_sequence_variant&intron_variant",
+        "splice_acceptor_variant&coding_sequence_variant&intron_variant",
+        "splice_acceptor_variant&splice_donor_variant&coding_sequence_variant&intron_variant",
+        "stop_lost&inframe_deletion",
+        "stop_lost&3_prime_UTR_variant",
+        "stop_lost&3_prime_UTR_variant",
+        "start_lost&5_prime_UTR_variant",
+        "start_lost&5_prime_UTR_variant",
+    ]
+    assert all(got[k].IMPACT == "HIGH" for k in range(10))
+    assert (got[0].HGVSp, got[5].HGVSp, got[6].HGVSp) == ("PR1:p.Met1?", "PR1:p.Ter30extTer?", None)
+
+
+def test_indexed_fasta(spark, tmp_path):
+    seqs = {"chr1": "ACGTN" * 900, "2": "ac" * 13, "3": "G"}
+    path = str(tmp_path / "i.fa")
+    with open(path, "w") as f, open(path + ".fai", "w") as index:
+        for name, seq in seqs.items():
+            f.write(f">{name} some text\n")
+            index.write(f"{name}\t{len(seq)}\t{f.tell()}\t60\t61\n")
+            f.write("\n".join(seq[k : k + 60] for k in range(0, len(seq), 60)) + "\n")
+    plain = str(tmp_path / "p.fa")
+    with open(plain, "w") as f:
+        f.write(open(path).read())
+    both = [sorted(tuple(r) for r in fasta.read_fasta(spark, p, 100, 30, 400).collect()) for p in (path, plain)]
+    assert both[0] == both[1] and len(both[0]) == 47
+    assert ("1", 1, seqs["chr1"][100:230]) in both[0] and ("2", 0, "AC" * 13) in both[0]
+
+
 def test_shift_and_probes(spark, tmp_path):
     rows = [("1", 400, "CA", "C"), ("1", 400, "C", "CA"), ("1", 412, "GTG", "G"), ("1", 405, "AAA", "A")]
     got = run(spark, tmp_path, rows)
