@@ -1,18 +1,23 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into windows of ``WINDOW`` bytes. A forward and a backward network read
-each window, every byte position gets a probability for each language, and a document's
-probability is the mean over its positions that belong to letters. Gates and candidates
-use x / (1 + |x|), which costs an eighth of the hyperbolic tangent here. All windows of a
-slice run side by side, so a step is a few matrix operations over thousands of lanes.
-
-Training is backpropagation through time in numpy on a bounded sample
-(``SAMPLE_PER_LANGUAGE`` rows of each language, chosen by a hash of the id), with
-``WINDOWS_PER_ROW`` windows drawn from the whole of each text.
+A forward and a backward network read a text, every byte position gets a probability for
+each language, and a document's probability is the mean over its positions that belong to
+letters. Whole texts are read, in windows of ``READ`` bytes side by side; each window also
+reads ``CONTEXT`` bytes before and after it, whose positions it does not label, so that its
+states know what stands around it. Gates and candidates use x / (1 + |x|), which costs an
+eighth of the hyperbolic tangent here. A step is a few matrix operations over thousands of
+lanes.
+
+Training is backpropagation through time in numpy on a bounded number of labelled pieces:
+``SAMPLE_PER_LANGUAGE`` rows of each language, the least by a hash of the id, and of all
+pieces of ``WINDOW`` bytes of their whole texts the ``PIECES_PER_LANGUAGE`` least by a hash.
+Every language is found in one pass, by the least hashes of each task and then of all.
 
 ``und`` (score 0) is returned for null texts and texts without a letter, and for all
 rows if there is nothing to learn from. Rows with a null id are labelled, not learnt
-from. Very long texts are cut into slices whose sums are added.
+from; rows that repeat an id are all labelled and all learnt from, equal pieces once; equal
+probabilities go to the first language by name; an empty table gives no rows; other columns
+may have any names. Very long texts are cut into slices whose sums are added.
 """
 
 from __future__ import annotations
@@ -30,11 +35,14 @@ from ._spark import bounded_batches, with_columns
 from .quality import in_fold
 
 WINDOW = 64
+READ, CONTEXT = 256, 16
 HIDDEN = 8
 SAMPLE_PER_LANGUAGE = 800
-WINDOWS_PER_ROW = 8
+PIECES_PER_LANGUAGE = 6_400
+#: Buckets in which the least hashes of all tasks meet before they meet in one.
+BUCKETS = 64
 #: Windows that run side by side.
-LANES = 2048
+LANES = 1024
 UNDETERMINED = "und"
 
 #: ASCII letters and all bytes of non-ASCII characters.
@@ -183,16 +191,18 @@ def train_windows(languages: list[str], windows: np.ndarray, y: np.ndarray, step
     return model
 
 
-def cut_windows(buf: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that cover each text, the row of each, and its number of real bytes; the rest is spaces."""
+def cut_windows(buf: np.ndarray, offsets: np.ndarray, width: int = WINDOW, context: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that cover each text, with ``context`` bytes more on both sides, the row of each, and
+    its number of real bytes; what lies outside the text is spaces."""
     size = np.diff(offsets)
     n = -(-size // width)
     row = np.repeat(np.arange(len(size)), n)
     at = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * width
     real = np.minimum(width, offsets[1:][row] - at)
-    padded = np.concatenate([buf, np.full(width, 32, np.uint8)])
-    w = padded[at[:, None] + np.arange(width)]
-    w[np.arange(width) >= real[:, None]] = 32
+    place = at[:, None] + np.arange(-context, width + context)
+    inside = (place >= offsets[:-1][row][:, None]) & (place < offsets[1:][row][:, None])
+    w = buf[np.where(inside, place, 0)] if len(buf) else np.zeros(place.shape, np.uint8)
+    w[~inside] = 32
     return w, row, real
 
 
@@ -206,49 +216,66 @@ def pooled(model: BiGRU, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
         for begin in range(0, max(1, int(off[-1])), T.SLICE_BYTES) if j - i == 1 else (0,):
             # one text longer than a slice goes in pieces
             piece, edge = (part[begin : begin + T.SLICE_BYTES], np.array([0, min(T.SLICE_BYTES, len(part) - begin)])) if j - i == 1 else (part, off)
-            windows, row, _ = cut_windows(piece, edge)
+            windows, row, _ = cut_windows(piece, edge, READ, CONTEXT)
             for k in range(0, len(windows), LANES):
                 x = np.ascontiguousarray(windows[k : k + LANES].T)
-                letters = _LETTER[x]
-                p = position_probabilities(model, x)
+                letters = _LETTER[x[CONTEXT : CONTEXT + READ]]
+                p = position_probabilities(model, x)[:, CONTEXT : CONTEXT + READ]
                 sums = (p * letters).sum(axis=1)
                 np.add.at(total, i + row[k : k + LANES], sums.T)
                 np.add.at(count, i + row[k : k + LANES], letters.sum(axis=0))
     return total, count
 
 
+def _least(rows: DataFrame, n: int) -> DataFrame:
+    """The n distinct rows (k, l, h) of least (h, k) of each l: of each task, of each bucket, of all."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        best = table.group_by(["k", "l", "h"]).aggregate([]).select(["k", "l", "h"]).sort_by([("l", "ascending"), ("h", "ascending"), ("k", "ascending")])
+        names = best.column("l").combine_chunks().dictionary_encode().indices.to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, np.int64)
+        rank = np.arange(len(names)) - np.repeat(begin, np.diff(np.append(begin, len(names))))
+        return best.filter(pa.array(rank < n))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > 16 * n:
+                held = keep(pa.Table.from_batches(held)).to_batches()
+                size = sum(x.num_rows for x in held)
+        if held:
+            yield from keep(pa.Table.from_batches(held)).to_batches()
+
+    first = rows.mapInArrow(local, rows.schema).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    fewer = first.groupBy("l", "bucket").applyInArrow(lambda t: keep(t.drop_columns(["bucket"])), rows.schema)
+    return fewer.groupBy("l").applyInArrow(keep, rows.schema)
+
+
 def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
     """Fit on a bounded sample of the rows for which ``learn`` holds; None without any."""
     rows = bounded_batches(documents).where(learn).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    order = F.xxhash64(F.col("k"), F.lit("language"))
-    ids = rows.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l")).distinct()
-    languages = sorted(r["l"] for r in ids.select("l").distinct().collect())
-    picked = None
-    for name in languages:
-        one = ids.where(F.col("l") == name).orderBy(order, "k").limit(SAMPLE_PER_LANGUAGE)
-        picked = one if picked is None else picked.union(one)
-    if picked is None:
-        return None
+    ids = rows.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col), F.lit("language")).alias("h"))
+    picked = _least(ids, SAMPLE_PER_LANGUAGE)
     texts = rows.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offsets = T.flat(b.column(2))
-            out = []
-            for i in range(b.num_rows):
-                own = buf[offsets[i] : offsets[i + 1]]
-                starts = np.random.default_rng(len(own)).integers(0, max(1, len(own) - WINDOW + 1), WINDOWS_PER_ROW)
-                padded = np.concatenate([own, np.full(WINDOW, 32, np.uint8)])
-                out.append(b"".join(padded[s : s + WINDOW].tobytes() for s in starts) if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["l", "w"])
-
-    sample = F.broadcast(picked)  # SAMPLE_PER_LANGUAGE ids of each language at most
-    got = texts.join(sample, ["k", "l"]).dropDuplicates(["k", "l"]).select("k", "l", "t").mapInArrow(draw, "l string, w binary").collect()
-    got = sorted((r["l"], bytes(r["w"])) for r in got)
+            buf, offsets = T.flat(b.column(1))
+            for i, j in T.slices(offsets):
+                w, row, _ = cut_windows(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                h = T.mix(w.view(np.uint64) @ T.mix(np.arange(1, WINDOW // 8 + 1, dtype=np.uint64))).view(np.int64)
+                good = _LETTER[w].sum(axis=1) >= 8
+                own = b.column(0).take(pa.array(i + row[good]))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in w[good]], pa.binary()), own, pa.array(h[good])], names=["k", "l", "h"])
+
+    sample = F.broadcast(picked.select("k", "l"))  # SAMPLE_PER_LANGUAGE ids of each language at most
+    pieces = texts.join(sample, ["k", "l"]).select("l", "t").mapInArrow(cut, "k binary, l string, h long")
+    got = sorted((r["l"], bytes(r["k"])) for r in _least(pieces, PIECES_PER_LANGUAGE).collect())
+    languages = sorted({name for name, _ in got})
     windows = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
-    y = np.repeat([languages.index(name) for name, _ in got], [len(w) // WINDOW for _, w in got])
-    letters = _LETTER[windows].sum(axis=1) >= 8
-    windows, y = windows[letters], y[letters]
+    y = np.array([languages.index(name) for name, _ in got], np.int64)
     if not len(windows):
         return None
     # equal shares: a frequent language is no better explanation of a text

@@ -11,9 +11,12 @@ a hash of the id); every row is scored from its whole text. Inputs of a score ar
 and word figures of the text alone.
 
 Null and empty texts get the score of an all-zero text; rows with a null id are scored
-but never learnt from; several labels of one id count as positive only if all are 1.
-Without positives or without unlabelled rows to learn from every score is the prior
-(0.5 if there are no positives at all).
+but never learnt from; of rows that repeat an id the one whose text has the least hash is
+learnt from and all are scored; several labels of one id count as positive only if all are
+1. Without positives or without unlabelled rows to learn from every score is the prior
+(0.5 if there are no positives at all). An empty table gives no rows; other columns may have
+any names, a column named like the score is replaced. A very long text is held whole in one
+task, with about 50 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -102,6 +105,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """The non-negative risk of logits, and the slopes that a step follows.
+
+    With the logistic loss l(g) = log(1 + exp(-g)): pi E_P[l(g)] plus the estimated risk of
+    negatives, E_U[l(-g)] - pi E_P[l(-g)], or 0 if that is below zero. A step then undoes
+    what made it fall: it goes up the estimate alone.
+    """
+    n_p, n_u = len(positive), len(unlabelled)
+    s_p, s_u = _sigmoid(positive), _sigmoid(unlabelled)  # slopes: l(g) has s - 1, l(-g) has s
+    negative = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    value = prior * float(np.logaddexp(0, -positive).mean()) + max(0.0, float(negative))
+    if negative >= 0:
+        return value, (prior * ((s_p - 1) - s_p) / n_p, s_u / n_u)
+    return value, (prior * s_p / n_p, -s_u / n_u)
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, seed: int) -> Network:
     """Adam on the non-negative risk; with no prior, on plain positive against unlabelled risk."""
     rng = np.random.default_rng(seed)
@@ -116,17 +135,11 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, step
         x = (x.astype(np.float32) - mean) / scale
         h = np.maximum(x @ params[0] + params[1], 0)
         g = h @ params[2] + params[3][0]
-        s = _sigmoid(g)
-        d = np.empty_like(g)
         if prior is None:
-            d[:256], d[256:] = (s[:256] - 1) / 256, s[256:] / 512
+            s = _sigmoid(g)
+            d = np.concatenate([(s[:256] - 1) / 256, s[256:] / 512])
         else:
-            # logistic loss: l(g) = log(1+exp(-g)), l'(g) = s-1; l(-g) has slope s
-            negative = np.logaddexp(0, g[256:]).mean() - prior * np.logaddexp(0, g[:256]).mean()
-            if negative >= 0:
-                d[:256], d[256:] = prior * ((s[:256] - 1) - s[:256]) / 256, s[256:] / 512
-            else:  # undo what made the estimated risk of negatives fall below zero
-                d[:256], d[256:] = prior * s[:256] / 256, -s[256:] / 512
+            d = np.concatenate(risk(g[:256], g[256:], prior)[1])
         back = np.outer(d, params[2]) * (h > 0)
         grads = [x.T @ back + 1e-4 * params[0], back.sum(axis=0), h.T @ d, np.array([d.sum()])]
         for k, gr in enumerate(grads):
@@ -194,7 +207,8 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     rest = ids.where("q is null").orderBy(order, "k").limit(MAX_UNLABELLED).select("k", F.lit(0).alias("y"))
     sample = F.broadcast(trusted.union(rest))  # MAX_POSITIVE + MAX_UNLABELLED ids at most
     rows = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(sample, "k")
-    got = _featured(rows.dropDuplicates(["k"])).collect()
+    one = rows.groupBy("k").agg(F.min_by(F.struct("y", "t"), F.struct(F.xxhash64("t"), "t")).alias("r"))
+    got = _featured(one.select("r.y", "r.t")).collect()
     y = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r["y"], np.int8) for r in got)])
     x = np.concatenate([np.zeros((0, N_FEATURES), np.float16), *(np.frombuffer(r["x"], np.float16).reshape(-1, N_FEATURES) for r in got)])
     del got

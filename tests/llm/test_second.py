@@ -45,6 +45,77 @@ def test_prior_and_risk():
     assert (net.score(bad) < 0.5).mean() > 0.95 and (net.score(good) > 0.5).mean() > 0.95
 
 
+def test_risk_against_a_plain_loop():
+    """One step of the fit, gradient by differences of the non-negative risk written out."""
+    rng = np.random.default_rng(1)
+    p, u, prior = rng.normal(1, 1, 40), rng.normal(0, 1, 60), 0.4
+
+    def loss(z):
+        return np.log1p(np.exp(-z))
+
+    def parts(shift):
+        positive = prior * sum(loss(z + shift) for z in p) / len(p)
+        negative = sum(loss(-z - shift) for z in u) / len(u) - prior * sum(loss(-z - shift) for z in p) / len(p)
+        return positive, negative
+
+    for offset in (0.0, -3.0):  # a negative part above and below zero
+        got, slopes = quality.risk(p + offset, u + offset, prior)
+        positive, negative = parts(offset)
+        assert got == pytest.approx(positive + max(0.0, negative))
+        step = 1e-5
+        whole = [sum(parts(offset + d)) for d in (-step, step)]
+        below = [parts(offset + d)[1] for d in (-step, step)]
+        # where the negative part is below zero, the step goes up that part alone
+        want = (whole[1] - whole[0]) / (2 * step) if negative >= 0 else -(below[1] - below[0]) / (2 * step)
+        assert sum(slopes[0]) + sum(slopes[1]) == pytest.approx(want, abs=1e-6)
+    assert quality.risk(np.full(5, 9.0), np.full(5, -9.0), 0.9)[0] < 0.01
+
+
+def test_prior_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, 500), np.concatenate([rng.normal(1, 1, 300), rng.normal(-2, 1, 300)])
+    best = None
+    for q in np.linspace(0.02, 0.95, 60):
+        c = np.quantile(p, q)
+        a, b = sum(x >= c for x in p) / len(p), sum(x >= c for x in u) / len(u)
+        bound = (b + np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)) / a
+        best = min(best, (bound, b / a)) if best else (bound, b / a)
+    assert quality.estimate_prior(p, u) == pytest.approx(best[1]) and abs(best[1] - 0.5) < 0.1
+
+
+def test_language_forward_and_pooling_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    m = language_id.new_model(["a", "b", "c"], hidden=3)
+    text = bytes(rng.integers(32, 127, 700).astype(np.uint8)) + "é 1".encode()
+
+    def squash(x):
+        return x / (1 + np.abs(x))
+
+    def direction(d, seq):
+        h, out = np.zeros(3), []
+        for byte in seq:
+            a, v = m.table[d][:, byte].astype(float), m.u[d].astype(float) @ h
+            gates = 0.5 + 0.5 * squash(a[:6] + v[:6])
+            z, r = gates[:3], gates[3:]
+            candidate = squash(a[6:] + r * (v[6:] + m.c[d][:, 0]))
+            h = (1 - z) * candidate + z * h
+            out.append(h)
+        return out
+
+    total, count = np.zeros(3), 0
+    for at in range(0, len(text), language_id.READ):
+        piece = [text[k] if 0 <= k < len(text) else 32 for k in range(at - language_id.CONTEXT, at + language_id.READ + language_id.CONTEXT)]
+        fore, back = direction(0, piece), direction(1, piece[::-1])[::-1]
+        for k in range(language_id.CONTEXT, language_id.CONTEXT + language_id.READ):
+            if chr(piece[k]).isascii() and not chr(piece[k]).isalpha():
+                continue
+            e = np.exp(m.w.astype(float) @ np.concatenate([fore[k], back[k]]) + m.b[:, 0])
+            total += e / e.sum()
+            count += 1
+    got, n = language_id.pooled(m, np.frombuffer(b"xx" + text, np.uint8), np.array([0, 2, 2 + len(text)]))
+    assert n.tolist() == [2, count] and got[1] == pytest.approx(total, rel=1e-4)
+
+
 def test_language_held_out(spark):
     got = op6_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
