@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import annotate_frame
 from ..functions import alleles as al
 from ..functions import consequence as cq
 from ..functions import csq
 from ..functions.frequency import allele_frequency, max_frequency
 from ..operators import annotation as op
 from ..operators.intervals import interval_join, outside
+from ..options import AnnotateOptions
 from ..schema import CODONS, TERMS
 from . import views as V
 
@@ -534,3 +536,121 @@ def hgvs_snv(spark, sf_dir):
     rows = exonic(spark, sf_dir).where("length(ref) = 1 and length(alt) = 1")
     at = op.cdna_position(*[F.col(x) for x in ("start", "e_start", "e_end", "strand", "cdna_offset")])
     return rows.select(*KEY, "transcript_id", substitution(F.col("transcript_id"), F.lit("n"), at.cast("string"), F.col("ref"), F.col("alt"), F.col("strand")).alias("hgvs"))
+
+
+# the engine itself: annotate_frame() over the derived tables and over a hand-made gene
+
+
+def _engine(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame], **flags) -> DataFrame:
+    """The long frame of all variants; row_idx is a hash of the variant, which is unique."""
+    v = V.variants(spark, sf_dir).select(F.xxhash64(*KEY).alias("row_idx"), F.lit(0).alias("alt_no"), *KEY, al.chrom_norm(F.col("chrom")).alias("chrom_norm"))
+    return annotate_frame(v, tables, AnnotateOptions(**flags))
+
+
+def _gene_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t, e = V.transcripts(spark, sf_dir), V.exons(spark, sf_dir)
+    return {
+        "transcript": t.select(F.col("t_chrom").alias("chrom"), F.col("t_start").alias("start"), F.col("t_end").alias("end"), "strand", "stable_id", "gene_symbol", "biotype", "is_canonical", "cds_start", "cds_end"),
+        "exon": e.select("transcript_id", F.col("e_start").alias("start"), F.col("e_end").alias("end")),
+        "regulatory": V.regulatory(spark, sf_dir).select(F.col("r_chrom").alias("chrom"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("reg_id").alias("stable_id"), "feature_type"),
+    }
+
+
+#: Trimmed range of each variant: an insertion lies between g2 and g1.
+_G = """g AS (SELECT *, start + CAST(length(ref) <> length(alt) AS BIGINT) AS g1, start + length(ref) - 1 AS g2 FROM v),
+w AS (SELECT *, least(g1, g2) AS low, greatest(g1, g2) AS high, CASE WHEN length(alt) > length(ref) THEN substr(alt, 2) WHEN length(alt) < length(ref) THEN '-' ELSE alt END AS allele FROM g)"""
+
+
+@query(
+    f"""{_G}
+--
+SELECT {_K4}, stable_id AS feature, CASE WHEN (g2 < t_start) = (strand = 1) THEN 'upstream_gene_variant' ELSE 'downstream_gene_variant' END AS consequence, greatest(0, t_start - high, low - t_end) AS distance, gene_symbol AS symbol, allele
+FROM w JOIN t ON c = t_chrom AND low <= t_end + {FLANK} AND high >= t_start - {FLANK} WHERE NOT (g1 <= t_end AND g2 >= t_start)"""
+)
+def engine_flanks(spark, sf_dir):
+    rows = _engine(spark, sf_dir, _gene_tables(spark, sf_dir)).where(F.col("Consequence").isin("upstream_gene_variant", "downstream_gene_variant"))
+    return rows.select(*KEY, F.col("Feature").alias("feature"), F.col("Consequence").alias("consequence"), F.col("DISTANCE").cast("long").alias("distance"), F.col("SYMBOL").alias("symbol"), F.col("Allele").alias("allele"))
+
+
+@query(
+    f"""{_G}, tr AS (SELECT chrom, start, ref, alt, count(*) AS n_transcripts FROM w JOIN t ON c = t_chrom AND low <= t_end + 2000 AND high >= t_start - 2000 GROUP BY {_K4}),
+rg AS (SELECT chrom, start, ref, alt, count(*) AS n_regulatory FROM w JOIN r ON c = r_chrom AND low <= r_end AND high >= r_start GROUP BY {_K4})
+--
+SELECT {_K4}, coalesce(n_transcripts, 0) AS n_transcripts, coalesce(n_regulatory, 0) AS n_regulatory, CASE WHEN n_transcripts IS NULL AND n_regulatory IS NULL THEN 1 ELSE 0 END AS n_intergenic FROM w LEFT JOIN tr USING ({_K4}) LEFT JOIN rg USING ({_K4})"""
+)
+def engine_features(spark, sf_dir):
+    """Entries of each kind with a distance of 2,000 on both sides."""
+    rows = _engine(spark, sf_dir, _gene_tables(spark, sf_dir), distance=2000)
+    kind = lambda name, of: F.sum((F.coalesce("Feature_type", F.lit("none")) == of).cast("long")).alias(name)
+    return rows.groupBy(*KEY).agg(kind("n_transcripts", "Transcript"), kind("n_regulatory", "RegulatoryFeature"), F.sum((F.col("Consequence") == "intergenic_variant").cast("int")).alias("n_intergenic"))
+
+
+@query(
+    f"""--
+SELECT chrom, start, ref, alt, variation_name AS existing, CAST(AFR AS VARCHAR) AS afr, CAST(EUR AS VARCHAR) AS eur, CAST(greatest(coalesce(AFR, -1), EUR) AS VARCHAR) AS max_af, CASE WHEN AFR = EUR THEN 'AFR&EUR' WHEN AFR > EUR THEN 'AFR' ELSE 'EUR' END AS max_pops
+FROM v JOIN k ON c = k_chrom AND start = k_start AND allele_string = concat(ref, '/', alt) WHERE failed = 0 AND length(ref) = length(alt)"""
+)
+def engine_known(spark, sf_dir):
+    """Known single-base variants: names, frequencies picked by allele, and the highest."""
+    k = V.known(spark, sf_dir)
+    value = lambda p: F.concat(F.element_at(F.split("allele_string", "/"), -1), F.lit(":"), F.col(p).cast("string")).alias(p)
+    variation = k.select(F.col("k_chrom").alias("chrom"), F.col("k_start").alias("start"), "variation_name", "allele_string", "failed", value("AFR"), value("EUR"))
+    rows = _engine(spark, sf_dir, {"variation": variation}, af_1kg=True, max_af=True, check_existing=True, extended_probes=False)
+    rows = rows.where("Existing_variation is not null and length(ref) = length(alt)")
+    return rows.select(*KEY, F.col("Existing_variation").alias("existing"), F.col("AFR_AF").alias("afr"), F.col("EUR_AF").alias("eur"), F.col("MAX_AF").alias("max_af"), F.col("MAX_AF_POPS").alias("max_pops"))
+
+
+#: A hand-made gene: exons 101-160 and 201-260 forward, coding 111-160 and 201-240 (30 codons).
+_CDS = "ATG" + "GCTAAAGAAGAAGAATGGCATCTGGTTGCATACCCAGGTTCTCGTGATTGTCAATTTACTATGAACGTTGCTGCTAAACTGGAA" + "TAA"
+_GENOME = "C" * 99 + "C" + "G" * 10 + _CDS[:50] + "GT" + "C" * 36 + "AG" + _CDS[50:] + "G" * 20 + "C" * 139 + "CAAAAAAAAAACGTGTGTGTC" + "C" * 600
+#: Its variants and, worked out by hand, what they do: position, ref, alt, consequence, impact, HGVSc, HGVSp, codons, CDS position, SIFT.
+_HAND = [
+    (115, "C", "T", "missense_variant", "MODERATE", "TX1.1:c.5C>T", "PR1:p.Ala2Val", "gCt/gTt", "5", "deleterious(0.01)"),
+    (116, "T", "A", "synonymous_variant", "LOW", "TX1.1:c.6T>A", "PR1:p.Ala2%3D", "gcT/gcA", "6", None),
+    (111, "A", "G", "start_lost", "HIGH", "TX1.1:c.1A>G", "PR1:p.Met1?", "Atg/Gtg", "1", None),
+    (117, "A", "T", "stop_gained", "HIGH", "TX1.1:c.7A>T", "PR1:p.Lys3Ter", "Aaa/Taa", "7", None),
+    (161, "G", "A", "splice_donor_variant", "HIGH", "TX1.1:c.50+1G>A", None, None, None, None),
+    (200, "G", "A", "splice_acceptor_variant", "HIGH", "TX1.1:c.51-1G>A", None, None, None, None),
+    (180, "C", "A", "intron_variant", "MODIFIER", "TX1.1:c.50+20C>A", None, None, None, None),
+    (105, "G", "A", "5_prime_UTR_variant", "MODIFIER", "TX1.1:c.-6G>A", None, None, None, None),
+    (250, "G", "A", "3_prime_UTR_variant", "MODIFIER", "TX1.1:c.*10G>A", None, None, None, None),
+    (239, "A", "G", "stop_retained_variant", "LOW", "TX1.1:c.89A>G", "PR1:p.Ter30%3D", "tAa/tGa", "89", None),
+    (60, "C", "A", "upstream_gene_variant", "MODIFIER", None, None, None, None, None),
+    (300, "C", "A", "downstream_gene_variant", "MODIFIER", None, None, None, None, None),
+]
+#: The same for deletions (first and last base): consequence, HGVSp.
+_GONE = [
+    (109, 113, "start_lost&5_prime_UTR_variant", "PR1:p.Met1?"),
+    (159, 163, "splice_donor_variant&coding_sequence_variant&intron_variant", None),
+    (198, 203, "splice_acceptor_variant&coding_sequence_variant&intron_variant", None),
+    (239, 245, "stop_lost&3_prime_UTR_variant", None),
+    (238, 240, "stop_lost&inframe_deletion", "PR1:p.Ter30extTer?"),
+    (101, 260, "transcript_ablation", None),
+]
+
+
+def _hand_made(spark: SparkSession, rows: list[tuple[int, str, str]]) -> DataFrame:
+    variants = spark.createDataFrame([(k, 0, "chr1", "1", p, r, a) for k, (p, r, a) in enumerate(rows)], "row_idx long, alt_no int, chrom string, chrom_norm string, start long, ref string, alt string")
+    gene = spark.createDataFrame([("1", 101, 260, 1, "TX1", 1, "protein_coding", True, "SYM", 111, 240, [(101, 160), (201, 260)])], "chrom string, start long, end long, strand int, stable_id string, version int, biotype string, is_canonical boolean, gene_symbol string, cds_start long, cds_end long, exons array<struct<start:long,end:long>>")
+    core = spark.createDataFrame([("TX1", "PR1", _CDS)], "transcript_id string, stable_id string, cds_sequence string")
+    matrix = "array<struct<position:int,amino_acid:string,prediction:string,score:double>>"
+    sift = spark.createDataFrame([("TX1", [(2, "V", "deleterious", 0.01)])], f"transcript_id string, sift_predictions {matrix}")
+    chunks = spark.createDataFrame([("1", 0, _GENOME)], "f_chrom string, chunk_no long, seq string")
+    options = AnnotateOptions(everything=True, reference_fasta="given as a table")
+    return annotate_frame(variants, {"transcript": gene, "translation_core": core, "translation_sift": sift}, options, chunks)
+
+
+def _literal(x) -> str:
+    return "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+@query("--\nSELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, x)) + ")" for x in _HAND) + ") AS z(start, ref, alt, consequence, impact, hgvsc, hgvsp, codons, cds_position, sift)")
+def engine_coding(spark, sf_dir):
+    names = {"Consequence": "consequence", "IMPACT": "impact", "HGVSc": "hgvsc", "HGVSp": "hgvsp", "Codons": "codons", "CDS_position": "cds_position", "SIFT": "sift"}
+    return _hand_made(spark, [x[:3] for x in _HAND]).select(F.col("start").cast("int").alias("start"), "ref", "alt", *[F.col(k).alias(n) for k, n in names.items()])
+
+
+@query("--\nSELECT * FROM (VALUES " + ", ".join(f"({a - 1}, {_literal(c)}, {_literal(p)})" for a, _, c, p in _GONE) + ") AS z(start, consequence, hgvsp)")
+def engine_deletions(spark, sf_dir):
+    rows = _hand_made(spark, [(a - 1, _GENOME[a - 2 : b], _GENOME[a - 2]) for a, b, _, _ in _GONE])
+    return rows.select(F.col("start").cast("int").alias("start"), F.col("Consequence").alias("consequence"), F.col("HGVSp").alias("hgvsp"))
