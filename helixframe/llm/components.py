@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: list | None =
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # an exchange of its own: a hub's rows can then be split as a skewed join
+        large = both.where("b > a").join(low.repartition("a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
