@@ -341,10 +341,12 @@ _UNION = f"""fu AS (SELECT {_K4}, 'Transcript' AS Feature_type, stable_id AS Fea
 
 @query(_B + ", " + _UNION + f"\n--\nSELECT {_K4}, Feature_type, Feature, term FROM fu")
 def feature_union(spark, sf_dir):
+    """All entries of a variant; the intergenic one is every variant's, and goes where there are others."""
     genes = basic(spark, sf_dir).select(*KEY, F.lit("Transcript").alias("Feature_type"), F.col("stable_id").alias("Feature"), "term")
     reg = overlap_regulatory(spark, sf_dir).select(*KEY, F.lit("RegulatoryFeature").alias("Feature_type"), F.col("reg_id").alias("Feature"), "term")
-    none = intergenic(spark, sf_dir).select(*KEY, F.lit("Intergenic").alias("Feature_type"), "term")
-    return genes.unionByName(reg).unionByName(none, allowMissingColumns=True)
+    none = V.variants(spark, sf_dir).select(*KEY, F.lit("Intergenic").alias("Feature_type"), F.lit(None).cast("string").alias("Feature"), F.lit("intergenic_variant").alias("term"))
+    every = genes.unionByName(reg).unionByName(none)
+    return every.withColumn("n", F.count("*").over(op.Window.partitionBy(*KEY))).where("n = 1 or Feature_type <> 'Intergenic'").drop("n")
 
 
 _PACKED = _B + ", " + _UNION + f""", pk AS (SELECT {_K4}, string_agg(concat_ws('|', alt, term, Feature_type, coalesce(Feature, '')), ',' ORDER BY CASE Feature_type WHEN 'Transcript' THEN 0 WHEN 'RegulatoryFeature' THEN 1 ELSE 3 END, coalesce(Feature, '')) AS CSQ FROM fu GROUP BY {_K4})"""

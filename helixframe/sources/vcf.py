@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,48 @@ from . import bgzf
 _FIXED = ("chrom", "start", "id", "ref", "alt", "qual", "filter", "info")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+#: Compressed bytes of a block gzip file for each task.
+RANGE = 16 << 20
+
+
+def read_lines(spark: SparkSession, path: str, task: int = RANGE) -> DataFrame:
     """Lines (value) of a plain, .gz, .bgz or .bgzf file.
 
-    Spark's text reader splits plain files and knows .gz; the other suffixes it would read
-    as they are, so those are decoded whole, one file to a task.
+    Spark's text reader splits plain files. Block gzip is read by ranges of ``task`` bytes,
+    under whatever of the three suffixes; plain gzip under .gz in one task, as it cannot be split.
     """
-    if not path.endswith((".bgz", ".bgzf")):
+    if not path.endswith((".gz", ".bgz", ".bgzf")):
         return spark.read.text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = system.getFileStatus(place).getLen()
+    with _open(path) as (file, _):
+        blocked = size == 0 or bgzf.member_size(file.read_at(min(size, 64), 0), 0) > 0
+    if not blocked:
+        return spark.read.text(path) if path.endswith(".gz") else _decoded(spark, path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _open(path) as (file, n):
+            for b in batches:
+                for begin in b.column(0).to_pylist():
+                    lines = bgzf.lines_of_range(file, n, begin, min(begin + task, n))
+                    for k in range(0, len(lines), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in lines[k : k + 10_000]], pa.string())], names=["value"])
+
+    # in the order of the file, a range for each task
+    return spark.range(0, max(size, 1), task, -(-max(size, 1) // task)).mapInArrow(read, "value string")
+
+
+@contextmanager
+def _open(path: str) -> Iterator[tuple]:
+    """A file of any file system that Arrow knows, for reads at places, and its size."""
+    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with system.open_input_file(place) as file:
+        yield file, file.size()
+
+
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Plain gzip under a suffix that Spark's reader does not know: one file to a task."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -35,8 +71,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "value string")
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """The lines that start with #."""
+def header(spark: SparkSession, path: str, first: int = 10_000) -> list[str]:
+    """The lines that start with #, which come before all records."""
+    lines = [r[0] for r in read_lines(spark, path).limit(first).collect()]
+    found = [x for x in lines if x.startswith("#")]
+    if len(found) < first:
+        return found
     return [r[0] for r in read_lines(spark, path).where("startswith(value, '#')").collect()]
 
 
@@ -73,40 +113,36 @@ def to_lines(rows: DataFrame) -> DataFrame:
     return rows.select("row_idx", "alt_no", F.concat_ws("\t", "chrom", F.col("start").cast("string"), dot("id"), dot("ref"), dot("alt"), qual, dot("filter"), info, "samples").alias("value"))
 
 
-def write_vcf(rows: DataFrame, head: list[str], path: str, compression: str | None = None, on_written=None) -> int:
+def write_vcf(rows: DataFrame, head: list[str], path: str, compression: str | None = None, on_written=None, total: int = 0) -> int:
     """One file with the header and the records in their order; returns the number of records.
 
-    Records are sorted in parallel and streamed to the driver a partition at a time, so no
-    partition but the current one is in its memory.
+    Records are sorted, and turned into compressed members of the file, in tasks; the driver
+    only joins their bytes, a partition at a time. ``on_written`` is called with the records
+    of a batch, those written so far, and ``total``.
     """
     how = compression_of(path, compression)
     pending = f"{path}.part"
-    lines = to_lines(rows).orderBy("row_idx", "alt_no").select("value")
-    n, buffer, size = 0, [], 0
-    with open(pending, "wb") as out:
+    packed = {"bgzf": bgzf.compress, "gzip": _gzip}.get(how, bytes)
 
-        def flush() -> None:
-            data = ("\n".join(buffer) + "\n").encode() if buffer else b""
-            out.write(bgzf.compress(data) if how == "bgzf" else _gzip(data) if how == "gzip" and data else data)
-            buffer.clear()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                data = packed(("\n".join(b.column(0).to_pylist()) + "\n").encode())
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([data], pa.binary())], names=["n", "data"])
 
-        for line in head:
-            buffer.append(line)
+    lines = to_lines(rows).orderBy("row_idx", "alt_no").select("value").mapInArrow(pack, "n long, data binary")
+    n = 0
+    with open(pending, "wb") as out:
+        if head:
+            out.write(packed(("\n".join(head) + "\n").encode()))
         for r in lines.toLocalIterator(prefetchPartitions=True):
-            buffer.append(r[0])
-            n += 1
-            size += len(r[0])
-            if size > 4 << 20:
-                flush()
-                size = 0
-                if on_written:
-                    on_written(n, n, 0)
-        flush()
+            out.write(r["data"])
+            n += r["n"]
+            if on_written:
+                on_written(r["n"], n, total)
         if how == "bgzf":
             out.write(bgzf.EOF)
     os.replace(pending, path)
-    if on_written:
-        on_written(n, n, n)
     return n
 
 

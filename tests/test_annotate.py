@@ -235,6 +235,25 @@ def write_cache(spark, root):
         rows.write.parquet(os.path.join(root, name))
 
 
+def test_block_gzip_by_ranges(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    lines = [f"{k} " + "".join(rng.choices("acgt\t", k=rng.choice([0, 10, 300, 5000]))) for k in range(900)]
+    lines[400] = "long " + "".join(rng.choices("acgt", k=300_000))
+    for name, text in (("a.vcf.gz", "\n".join(lines) + "\n"), ("b.bgz", "\n".join(lines))):
+        path = str(tmp_path / name)
+        with open(path, "wb") as f:
+            f.write(bgzf.compress(text.encode()) + bgzf.EOF)
+        for task in (3_000, 50_000, 1 << 24):
+            assert [r[0] for r in vcf.read_lines(spark, path, task).collect()] == lines
+    for name in ("c.vcf.gz", "d.bgz"):
+        path = str(tmp_path / name)
+        with gzip.open(path, "wt") as f:
+            f.write("x\ny\n")
+        assert [r[0] for r in vcf.read_lines(spark, path).collect()] == ["x", "y"]
+
+
 @pytest.mark.parametrize("suffix", ["vcf", "vcf.gz", "vcf.bgz"])
 def test_file_round_trip(spark, tmp_path, suffix):
     path, out = str(tmp_path / f"in.{suffix}"), str(tmp_path / f"out.{suffix}")
