@@ -8,6 +8,7 @@ filters prune row groups.
 from __future__ import annotations
 
 import os
+import re
 import tarfile
 import time
 import urllib.error
@@ -124,6 +125,10 @@ def fetch_release(cache_dir: str, release: int, species: str, assembly: str, cac
     return folder
 
 
+#: Region files of features that Perl serialised.
+_PERL = re.compile(r"^[0-9]+-[0-9]+(_reg)?\.gz$")
+
+
 def build_cache(
     release: int,
     cache_dir: str,
@@ -162,8 +167,10 @@ def build_cache(
     spark = spark or SparkSession.builder.getOrCreate()
     root = os.path.join(cache_dir, "parquet", f"{release}_{assembly}_{cache_type}")
     out: list[tuple[str, int]] = []
-    for entity in ENTITIES:
-        rows = entity_source(spark, source, entity)
+    found = {e: entity_source(spark, source, e) for e in ENTITIES}
+    if found["transcript"] is None and any(_PERL.match(f) for _, _, files in os.walk(source) for f in files):
+        raise ValueError(f"{source} holds features in Perl's own format, which is not read: give the entities as Parquet or JSON lines")
+    for entity, rows in found.items():
         if rows is None:
             continue
         path = os.path.join(root, entity)
@@ -190,7 +197,12 @@ class CacheCatalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.entities = [e for e in ENTITIES if os.path.isdir(os.path.join(folder, e))]
+        self.entities = [e for e in ENTITIES if self._holds(e)]
+
+    def _holds(self, entity: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/{entity}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return system.exists(path) and system.getFileStatus(path).isDirectory()
 
     def table(self, entity: str) -> DataFrame | None:
         if entity not in self.entities:
