@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from . import ann, language_id, lm_score, packing, pii, quality
 from . import decontaminate as dc
 from .near_dups import near_duplicates
+from .periodic_runs import detect_runs, repeated_order
+from .prefix_trie import prefix_trie
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
+from .vector_dups import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +68,23 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_decontaminate, op4_pii, op5_lm_score, op6_language_id, op7_packing, op8_ann, op9_token_counts, op10_near_dups)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a conversation takes the first turns of the one whose id is the multiple of 20 before it
+    conv = F.col("conv")
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20, head=F.crc32(conv.cast("string").cast("binary")) % 4)
+
+
+def op12_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_runs(table(spark, sf_dir, "documents"), order=repeated_order)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_decontaminate, op4_pii, op5_lm_score, op6_language_id, op7_packing, op8_ann, op9_token_counts, op10_near_dups, op11_prefix_trie, op12_vector_dups, op13_periodic_runs)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -74,6 +93,8 @@ _CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(C
  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, s: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
 _K1, _K2 = lm_score.SMOOTHING
 
+_CRC_CONV = _CRC.replace("doc_id", "conv_id")
+
 #: SQL for DuckDB. The other operators depend on a model, a tokenizer or an order of packing.
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": """
@@ -116,4 +137,25 @@ links AS MATERIALIZED (SELECT a, b FROM pairs JOIN c ca ON a = ca.doc_id JOIN c
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
 comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN c USING (doc_id)""",
+    "op11_prefix_trie": f"""
+WITH o AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT DISTINCT conv_id, {_CRC_CONV} % 4 AS h FROM o),
+x AS (SELECT c.conv_id, 0 AS own, i, r, t FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND i <= h UNION ALL SELECT conv_id, 1, i, r, t FROM o JOIN c USING (conv_id) WHERE i > h),
+s AS MATERIALIZED (SELECT conv_id, d, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS k, w FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d, md5(octet_length(encode(r)) || ' ' || r || t) AS k, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS w FROM x) y
+ UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS MATERIALIZED (SELECT d, k, min(conv_id) AS m, count(*) AS n, any_value(w) AS w FROM s GROUP BY d, k),
+e AS (SELECT d, k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS h FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS z FROM s) q WHERE d = z GROUP BY d, k),
+up AS (SELECT n.d, n.k, p.m AS pm FROM n JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1 : 32 * (n.d - 1)]),
+kids AS (SELECT d - 1 AS d, k[1 : 32 * (d - 1)] AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+pairs AS (SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sub AS (SELECT p.d, p.k, sum(CAST(kids.k IS NULL AS BIGINT)) AS leaves, sum((n.n - 1) * n.w) AS saved FROM pairs p JOIN n ON n.d = p.bd AND n.k = p.bk LEFT JOIN kids ON kids.d = p.bd AND kids.k = p.bk GROUP BY p.d, p.k)
+SELECT m AS conv_id, n.d AS depth, pm AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+ FROM n LEFT JOIN up USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN e USING (d, k) JOIN sub USING (d, k)""",
+    "op12_vector_dups": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+ WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = vec_id""",
 }
