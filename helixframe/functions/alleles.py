@@ -45,7 +45,36 @@ def trimmed_end(start: Column, ref: Column, alt: Column) -> Column:
     return start + F.length(ref) - 1
 
 
+#: What symbolic alleles are called.
+SYMBOLS = {"<DEL": "deletion", "<DUP:TANDEM": "tandem_duplication", "<DUP": "duplication", "<INS": "insertion", "<INV": "inversion", "<CNV": "copy_number_variation", "<CN": "copy_number_variation"}
+
+
+def symbolic_kind(alt: Column) -> Column:
+    """What a symbolic allele or a breakend stands for; null for alleles spelled out in bases."""
+    kind = F.when(alt.rlike(r"[\[\]]"), "chromosome_breakpoint")
+    for start, name in SYMBOLS.items():
+        kind = kind.when(F.startswith(alt, F.lit(start)), name)
+    return kind.when(F.startswith(alt, F.lit("<")), "sequence_alteration")
+
+
+def changes(ref: Column, alt: Column) -> Column:
+    """Whether there is an effect to look for: not for a star, a missing allele or one that equals the reference."""
+    return F.coalesce(~alt.isin("*", "<*>", "<NON_REF>", ".") & (F.upper(ref) != F.upper(alt)), F.lit(False))
+
+
+def symbolic_end(start: Column, alt: Column, info: Column) -> Column:
+    """Last base of a symbolic allele: INFO's END, else by SVLEN, else its first base."""
+    end, size = (F.regexp_extract(info, f"(?:^|;){k}=-?([0-9]+)", 1).try_cast("long") for k in ("END", "SVLEN"))
+    last = F.coalesce(end, start + size, start + 1)
+    return F.when(symbolic_kind(alt).isin("insertion", "chromosome_breakpoint"), start).otherwise(F.greatest(last, start + 1))
+
+
 def variant_class(ref: Column, alt: Column) -> Column:
+    """SNV, substitution, indel, deletion, insertion or what a symbol stands for; null without a change."""
+    return F.when(changes(ref, alt), F.coalesce(symbolic_kind(alt), _base_class(ref, alt)))
+
+
+def _base_class(ref: Column, alt: Column) -> Column:
     a, b = F.length(ref), F.length(alt)
     starts = F.startswith(ref, alt) | F.startswith(alt, ref)
     return F.when((a == 1) & (b == 1), "SNV").when(a == b, "substitution").when(~starts, "indel").when(a > b, "deletion").otherwise("insertion")

@@ -16,9 +16,11 @@ from ..functions import consequence as cq
 from ..functions import csq
 from ..functions.frequency import allele_frequency, max_frequency
 from ..operators import annotation as op
+from ..operators import nearest as near
+from ..operators import normalise as norm
 from ..operators.intervals import interval_join, outside
 from ..options import AnnotateOptions
-from ..schema import CODONS, TERMS
+from ..schema import CODONS, TERMS, THREE
 from . import views as V
 
 KEY = ["chrom", "start", "ref", "alt"]
@@ -602,57 +604,145 @@ def engine_known(spark, sf_dir):
     return rows.select(*KEY, F.col("Existing_variation").alias("existing"), F.col("AFR_AF").alias("afr"), F.col("EUR_AF").alias("eur"), F.col("MAX_AF").alias("max_af"), F.col("MAX_AF_POPS").alias("max_pops"))
 
 
-#: A hand-made gene: exons 101-160 and 201-260 forward, coding 111-160 and 201-240 (30 codons).
-_CDS = "ATG" + "GCTAAAGAAGAAGAATGGCATCTGGTTGCATACCCAGGTTCTCGTGATTGTCAATTTACTATGAACGTTGCTGCTAAACTGGAA" + "TAA"
-_GENOME = "C" * 99 + "C" + "G" * 10 + _CDS[:50] + "GT" + "C" * 36 + "AG" + _CDS[50:] + "G" * 20 + "C" * 139 + "CAAAAAAAAAACGTGTGTGTC" + "C" * 600
-#: Its variants and, worked out by hand, what they do: position, ref, alt, consequence, impact, HGVSc, HGVSp, codons, CDS position, SIFT.
-_HAND = [
-    (115, "C", "T", "missense_variant", "MODERATE", "TX1.1:c.5C>T", "PR1:p.Ala2Val", "gCt/gTt", "5", "deleterious(0.01)"),
-    (116, "T", "A", "synonymous_variant", "LOW", "TX1.1:c.6T>A", "PR1:p.Ala2%3D", "gcT/gcA", "6", None),
-    (111, "A", "G", "start_lost", "HIGH", "TX1.1:c.1A>G", "PR1:p.Met1?", "Atg/Gtg", "1", None),
-    (117, "A", "T", "stop_gained", "HIGH", "TX1.1:c.7A>T", "PR1:p.Lys3Ter", "Aaa/Taa", "7", None),
-    (161, "G", "A", "splice_donor_variant", "HIGH", "TX1.1:c.50+1G>A", None, None, None, None),
-    (200, "G", "A", "splice_acceptor_variant", "HIGH", "TX1.1:c.51-1G>A", None, None, None, None),
-    (180, "C", "A", "intron_variant", "MODIFIER", "TX1.1:c.50+20C>A", None, None, None, None),
-    (105, "G", "A", "5_prime_UTR_variant", "MODIFIER", "TX1.1:c.-6G>A", None, None, None, None),
-    (250, "G", "A", "3_prime_UTR_variant", "MODIFIER", "TX1.1:c.*10G>A", None, None, None, None),
-    (239, "A", "G", "stop_retained_variant", "LOW", "TX1.1:c.89A>G", "PR1:p.Ter30%3D", "tAa/tGa", "89", None),
-    (60, "C", "A", "upstream_gene_variant", "MODIFIER", None, None, None, None, None),
-    (300, "C", "A", "downstream_gene_variant", "MODIFIER", None, None, None, None, None),
-]
-#: The same for deletions (first and last base): consequence, HGVSp.
-_GONE = [
-    (109, 113, "start_lost&5_prime_UTR_variant", "PR1:p.Met1?"),
-    (159, 163, "splice_donor_variant&coding_sequence_variant&intron_variant", None),
-    (198, 203, "splice_acceptor_variant&coding_sequence_variant&intron_variant", None),
-    (239, 245, "stop_lost&3_prime_UTR_variant", None),
-    (238, 240, "stop_lost&inframe_deletion", "PR1:p.Ter30extTer?"),
-    (101, 260, "transcript_ablation", None),
-]
-
-
-def _hand_made(spark: SparkSession, rows: list[tuple[int, str, str]]) -> DataFrame:
-    variants = spark.createDataFrame([(k, 0, "chr1", "1", p, r, a) for k, (p, r, a) in enumerate(rows)], "row_idx long, alt_no int, chrom string, chrom_norm string, start long, ref string, alt string")
-    gene = spark.createDataFrame([("1", 101, 260, 1, "TX1", 1, "protein_coding", True, "SYM", 111, 240, [(101, 160), (201, 260)])], "chrom string, start long, end long, strand int, stable_id string, version int, biotype string, is_canonical boolean, gene_symbol string, cds_start long, cds_end long, exons array<struct<start:long,end:long>>")
-    core = spark.createDataFrame([("TX1", "PR1", _CDS)], "transcript_id string, stable_id string, cds_sequence string")
-    matrix = "array<struct<position:int,amino_acid:string,prediction:string,score:double>>"
-    sift = spark.createDataFrame([("TX1", [(2, "V", "deleterious", 0.01)])], f"transcript_id string, sift_predictions {matrix}")
-    chunks = spark.createDataFrame([("1", 0, _GENOME)], "f_chrom string, chunk_no long, seq string")
-    options = AnnotateOptions(everything=True, reference_fasta="given as a table")
-    return annotate_frame(variants, {"transcript": gene, "translation_core": core, "translation_sift": sift}, options, chunks)
-
-
-def _literal(x) -> str:
-    return "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-
-
-@query("--\nSELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, x)) + ")" for x in _HAND) + ") AS z(start, ref, alt, consequence, impact, hgvsc, hgvsp, codons, cds_position, sift)")
+# coding sequences of the derived transcripts: M, sense codons by arithmetic, a stop; only whole codons
+
+
+_SENSE = [c for c, a in CODONS.items() if a != "*"]
+#: Protein features and predictions of each of them.
+_DOMAIN, _SCORED = (3, 6), ("L", "V", "S")
+
+
+def _coding_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t = V.transcripts(spark, sf_dir).where("biotype = 'protein_coding' and unit % 3 = 0")
+    n, key = (F.col("unit") * 14 / 3).cast("int"), F.substr("stable_id", F.lit(3)).cast("long")
+    codon = lambda j: F.element_at(F.array(*map(F.lit, _SENSE)), ((j * 7 + key) % len(_SENSE) + 1).cast("int"))
+    cds = F.concat(F.lit("ATG"), F.array_join(F.transform(F.sequence(F.lit(2), n - 1), codon), ""), F.lit("TAA"))
+    core = t.select(F.col("stable_id").alias("transcript_id"), F.concat(F.lit("PR"), F.substr("stable_id", F.lit(3))).alias("stable_id"), cds.alias("cds_sequence"), F.array(F.struct(F.lit(_DOMAIN[0]).alias("start"), F.lit(_DOMAIN[1]).alias("end"), F.lit("Pfam").alias("analysis"), F.concat(F.lit("PF"), F.col("unit").cast("string")).alias("name"))).alias("protein_features"))
+    scores = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda j: F.transform(F.array(*map(F.lit, _SCORED)), lambda a: F.struct(j.alias("position"), a.alias("amino_acid"), F.lit("deleterious").alias("prediction"), (j % 100 / 1000).alias("score")))))
+    tables = _gene_tables(spark, sf_dir)
+    # the coding part begins with the second exon
+    coding = tables["transcript"].withColumn("cds_start", (F.col("start") + (F.col("end") - F.col("start") + 1) / 4).cast("long"))
+    return {"transcript": coding, "exon": tables["exon"], "translation_core": core, "translation_sift": t.select(F.col("stable_id").alias("transcript_id"), scores.alias("sift_predictions"))}
+
+
+_TURNED = "CASE WHEN strand = 1 THEN {0} ELSE translate({0}, 'ACGT', 'TGCA') END"
+#: cc: variants inside coding exons, more than 8 bases from their edges, with the base's place in the coding sequence.
+_CC = f"""sense AS (SELECT {_sql_list(_SENSE)} AS l), aas AS (SELECT MAP {{{", ".join(f"'{c}': '{a}'" for c, a in CODONS.items())}}} AS m, MAP {{{", ".join(f"'{a}': '{x}'" for a, x in THREE.items())}}} AS m3),
+pt AS (SELECT *, CAST(substr(stable_id, 3) AS BIGINT) AS key, unit * 14 // 3 AS n FROM t WHERE biotype = 'protein_coding' AND unit % 3 = 0),
+cds AS (SELECT pt.*, 'ATG' || array_to_string(list_transform(range(2, n), lambda j: l[(j * 7 + key) % {len(_SENSE)} + 1]), '') || 'TAA' AS seq FROM pt, sense),
+cx AS (SELECT *, start + CAST(length(ref) <> length(alt) AS BIGINT) - t_start AS d FROM v JOIN cds ON c = t_chrom AND start BETWEEN t_start AND t_end),
+cy AS (SELECT *, d % (10 * unit) AS inner_d, CASE d // (10 * unit) WHEN 1 THEN 0 WHEN 2 THEN 6 * unit WHEN 3 THEN 12 * unit END AS before FROM cx WHERE d >= 10 * unit AND d < 32 * unit),
+cc AS (SELECT *, CASE WHEN strand = 1 THEN before + inner_d + 1 ELSE 14 * unit - before - inner_d END AS p FROM cy WHERE inner_d >= 9 AND inner_d < 6 * unit - 9 AND d < 32 * unit - 9)"""
+
+
+def _coding(spark: SparkSession, sf_dir: str, kind: str, **flags) -> DataFrame:
+    """Entries of _CC's variants (of SNVs or deletions of one base) in the transcripts with a sequence."""
+    rows = _engine(spark, sf_dir, _coding_tables(spark, sf_dir), **flags).where(kind)
+    t = V.transcripts(spark, sf_dir).where("biotype = 'protein_coding' and unit % 3 = 0").select("stable_id", "t_start", "unit")
+    at = F.col("start") + (F.length("ref") != F.length("alt")).cast("long") - F.col("t_start")
+    inner = at % (10 * F.col("unit"))
+    inside = (at >= 10 * F.col("unit")) & (at < 32 * F.col("unit") - 9) & (inner >= 9) & (inner < 6 * F.col("unit") - 9)
+    return rows.join(t, F.col("Feature") == F.col("stable_id")).where(inside)
+
+
+@query(
+    f"""{_CC}, sn AS (SELECT *, (p - 1) // 3 AS k, {_TURNED.format("alt")} AS b, {_TURNED.format("ref")} AS r FROM cc WHERE length(ref) = 1 AND length(alt) = 1),
+co AS (SELECT *, substr(seq, 3 * k + 1, 3) AS o, substr(seq, 3 * k + 1, p - 1 - 3 * k) AS x, substr(seq, p + 1, 3 * k + 3 - p) AS y FROM sn),
+ef AS (SELECT co.*, m[o] AS a, m[x || b || y] AS z, m3 FROM co, aas)
+--
+SELECT {_K4}, stable_id AS feature, CASE WHEN a = z THEN 'synonymous_variant' WHEN z = '*' THEN 'stop_gained' ELSE 'missense_variant' END AS consequence,
+ stable_id || ':c.' || p || r || '>' || b AS hgvsc, 'PR' || substr(stable_id, 3) || ':p.' || m3[a] || (k + 1) || CASE WHEN a = z THEN '%3D' ELSE m3[z] END AS hgvsp,
+ lower(x) || substr(seq, p, 1) || lower(y) || '/' || lower(x) || b || lower(y) AS codons, CASE WHEN a = z THEN a ELSE a || '/' || z END AS amino_acids, CAST(p AS VARCHAR) AS cds_position, CAST(k + 1 AS VARCHAR) AS protein_position,
+ CASE WHEN a <> z AND z IN ({", ".join(f"'{x}'" for x in _SCORED)}) THEN 'deleterious(' || CASE WHEN (k + 1) % 100 = 0 THEN '0' ELSE rtrim(CAST(CAST((k + 1) % 100 AS DOUBLE) / 1000 AS VARCHAR), '0') END || ')' END AS sift,
+ CASE WHEN k + 1 BETWEEN {_DOMAIN[0]} AND {_DOMAIN[1]} THEN 'Pfam:PF' || unit END AS domains FROM ef"""
+)
 def engine_coding(spark, sf_dir):
-    names = {"Consequence": "consequence", "IMPACT": "impact", "HGVSc": "hgvsc", "HGVSp": "hgvsp", "Codons": "codons", "CDS_position": "cds_position", "SIFT": "sift"}
-    return _hand_made(spark, [x[:3] for x in _HAND]).select(F.col("start").cast("int").alias("start"), "ref", "alt", *[F.col(k).alias(n) for k, n in names.items()])
+    """Single bases inside coding exons: terms, notation, codons, residues, predictions, domains."""
+    names = {"Feature": "feature", "Consequence": "consequence", "HGVSc": "hgvsc", "HGVSp": "hgvsp", "Codons": "codons", "Amino_acids": "amino_acids", "CDS_position": "cds_position", "Protein_position": "protein_position", "SIFT": "sift", "DOMAINS": "domains"}
+    rows = _coding(spark, sf_dir, "length(ref) = 1 and length(alt) = 1", hgvsc=True, hgvsp=True, reference_fasta="not needed")
+    return rows.select(*KEY, *[F.col(k).alias(n) for k, n in names.items()])
 
 
-@query("--\nSELECT * FROM (VALUES " + ", ".join(f"({a - 1}, {_literal(c)}, {_literal(p)})" for a, _, c, p in _GONE) + ") AS z(start, consequence, hgvsp)")
+@query(
+    f"""{_CC}, dl AS (SELECT *, (p - 1) // 3 AS k FROM cc WHERE length(ref) = 2 AND length(alt) = 1),
+dc AS (SELECT *, substr(seq, 3 * k + 1, 3) AS o, substr(seq, 3 * k + 1, p - 1 - 3 * k) AS x, substr(seq, p + 1, 3 * k + 3 - p) AS y, substr(seq, 3 * k + 4, 1) AS nx FROM dl)
+--
+SELECT {_K4}, stable_id AS feature, CASE WHEN m[x || y || nx] = '*' THEN 'stop_gained&frameshift_variant' ELSE 'frameshift_variant' END AS consequence, stable_id || ':c.' || p || 'del' AS hgvsc,
+ lower(x) || substr(seq, p, 1) || lower(y) || '/' || lower(x || y) AS codons, m[o] || '/X' AS amino_acids, CAST(p AS VARCHAR) AS cds_position FROM dc, aas"""
+)
 def engine_deletions(spark, sf_dir):
-    rows = _hand_made(spark, [(a - 1, _GENOME[a - 2 : b], _GENOME[a - 2]) for a, b, _, _ in _GONE])
-    return rows.select(F.col("start").cast("int").alias("start"), F.col("Consequence").alias("consequence"), F.col("HGVSp").alias("hgvsp"))
+    """Deletions of one base inside coding exons; without a reference they do not move."""
+    names = {"Feature": "feature", "Consequence": "consequence", "HGVSc": "hgvsc", "Codons": "codons", "Amino_acids": "amino_acids", "CDS_position": "cds_position"}
+    rows = _coding(spark, sf_dir, "length(ref) = 2 and length(alt) = 1", hgvsc=True, reference_fasta="not needed")
+    return rows.select(*KEY, *[F.col(k).alias(n) for k, n in names.items()])
+
+
+#: Structural variants of every seventh part: a symbol, its last base, and what it does to transcripts.
+_SV = {0: ("<DEL>", "transcript_ablation", "feature_truncation"), 1: ("<DUP>", "transcript_amplification", "feature_elongation"), 2: ("<INV>", None, None)}
+
+
+@query(
+    """sv AS (SELECT concat('chr', CAST(1 + o_orderkey % 22 AS VARCHAR)) AS chrom, CAST(1 + o_orderkey % 22 AS VARCHAR) AS c, 1 + (o_orderkey * 8111) % 1000000 AS start, 2 + (o_orderkey * 8111) % 1000000 + o_custkey % 3000 AS last, CAST(o_orderkey % 3 AS INT) AS kind FROM orders WHERE o_orderkey % 7 = 0)
+--
+SELECT DISTINCT chrom, start, last, ['<DEL>', '<DUP>', '<INV>'][kind + 1] AS alt, stable_id AS feature, ['deletion', 'duplication', 'inversion'][kind + 1] AS variant_class,
+ CASE WHEN start + 1 <= t_start AND last >= t_end AND kind < 2 THEN ['transcript_ablation', 'transcript_amplification'][kind + 1] WHEN kind < 2 THEN ['feature_truncation', 'feature_elongation'][kind + 1] END AS whole_effect FROM sv JOIN t ON c = t_chrom AND start + 1 <= t_end AND last >= t_start"""
+)
+def engine_structural(spark, sf_dir):
+    """Symbolic alleles take their range from END; whole transcripts are lost or doubled, others cut or stretched."""
+    k = F.col("o_orderkey")
+    at = (k * 8111) % 1_000_000
+    alt = F.element_at(F.array(*[F.lit(x[0]) for x in _SV.values()]), (k % 3 + 1).cast("int"))
+    last = at + 2 + F.col("o_custkey") % 3000
+    sv = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0").select(k.alias("row_idx"), F.lit(0).alias("alt_no"), F.concat(F.lit("chr"), (k % 22 + 1).cast("string")).alias("chrom"), (at + 1).alias("start"), F.lit("N").alias("ref"), alt.alias("alt"), (k % 22 + 1).cast("string").alias("chrom_norm"), F.concat(F.lit("SVTYPE=X;END="), last.cast("string")).alias("info"), last.alias("last"))
+    tables = {n: x for n, x in _gene_tables(spark, sf_dir).items() if n != "regulatory"}
+    rows = annotate_frame(sv, tables, AnnotateOptions(distance=0)).where("Feature is not null")
+    special = F.filter(F.split("Consequence", "&"), lambda x: x.isin(*[y for z in _SV.values() for y in z[1:] if y]))
+    near = F.col("Consequence").rlike("stream_gene_variant")
+    out = rows.where(~near).join(sv.select("row_idx", "last"), "row_idx")
+    return out.select("chrom", "start", "last", "alt", F.col("Feature").alias("feature"), F.col("VARIANT_CLASS").alias("variant_class"), F.get(special, F.lit(0)).alias("whole_effect")).distinct()
+
+
+# normal forms and neighbours
+
+#: A contig for each part, with repeats in it, and indels in many spellings of each.
+_CONTIG = "concat('ACGGTCA', repeat(substr('ACGTTGCATTAG', CAST(1 + p_partkey % 5 AS INT), CAST(1 + p_partkey % 4 AS INT)), CAST(2 + p_size % 9 AS INT)), 'TGC', repeat(substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1), CAST(1 + p_partkey % 12 AS INT)), 'CATGACCA')"
+_SPELT = f"""ctg AS (SELECT p_partkey AS part, {_CONTIG} AS seq FROM part),
+sp AS (SELECT DISTINCT part, seq, 7 + (l_orderkey * 5 + l_linenumber) % (length(seq) - 14) AS x, 1 + l_orderkey % 4 AS m, l_linenumber % 5 AS a, l_linenumber % 3 AS b, l_linenumber % 2 = 0 AS del FROM lineitem JOIN ctg ON l_partkey = part)"""
+
+
+@query(
+    f"""{_SPELT}, hap AS (SELECT *, substr(seq, x - 1 - a, 1 + a) AS pre, substr(seq, x, m) AS u, CASE WHEN del THEN substr(seq, x + m, b) ELSE substr(seq, x, b) END AS post, CASE WHEN del THEN concat(substr(seq, 1, x - 1), substr(seq, x + m)) ELSE concat(substr(seq, 1, x - 1), substr(seq, x, m), substr(seq, x)) END AS h FROM sp),
+fp AS (SELECT *, list_filter(range(2, x + 1), lambda q: CASE WHEN del THEN concat(substr(seq, 1, q - 1), substr(seq, q + m)) = h ELSE concat(substr(h, 1, q - 1), substr(h, q + m)) = seq END)[1] AS q FROM hap)
+--
+SELECT DISTINCT CAST(part AS VARCHAR) AS chrom, x - 1 - a AS start, CASE WHEN del THEN concat(pre, u, post) ELSE concat(pre, post) END AS ref, CASE WHEN del THEN concat(pre, post) ELSE concat(pre, u, post) END AS alt, q - 1 AS n_start,
+ CASE WHEN del THEN substr(seq, q - 1, m + 1) ELSE substr(seq, q - 1, 1) END AS n_ref, CASE WHEN del THEN substr(seq, q - 1, 1) ELSE substr(h, q - 1, m + 1) END AS n_alt FROM fp"""
+)
+def left_aligned(spark, sf_dir):
+    """Indels inside repeats, spelt with more or less context, in their normal form."""
+    ctg = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), F.expr(_CONTIG).alias("seq"))
+    no, key = F.col("l_linenumber"), F.col("l_orderkey")
+    at = {"x": (key * 5 + no) % (F.length("seq") - 14) + 7, "m": (key % 4 + 1).cast("int"), "a": (no % 5).cast("int"), "b": (no % 3).cast("int"), "del": no % 2 == 0}
+    sp = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(ctg, F.col("l_partkey") == F.col("part")).select("part", "seq", *[(c.cast("int") if n == "x" else c).alias(n) for n, c in at.items()]).distinct()
+    x, m, seq = F.col("x"), F.col("m"), F.col("seq")
+    pre, unit = F.substr(seq, x - 1 - F.col("a"), F.col("a") + 1), F.substr(seq, x, m)
+    post = F.substr(seq, F.when(F.col("del"), x + m).otherwise(x), F.col("b"))
+    long, short = F.concat(pre, unit, post), F.concat(pre, post)
+    spelt = sp.select(F.col("part").cast("string").alias("c"), (x - 1 - F.col("a")).cast("long").alias("start"), F.when(F.col("del"), long).otherwise(short).alias("ref"), F.when(F.col("del"), short).otherwise(long).alias("alt")).distinct()
+    chunks = ctg.select(F.col("part").cast("string").alias("f_chrom"), F.lit(0).cast("long").alias("chunk_no"), "seq")
+    given = spelt.select("*", F.col("start").alias("s"), F.col("ref").alias("r"), F.col("alt").alias("v"))
+    rows = norm.left_aligned(given, chunks)
+    return rows.select(F.col("c").alias("chrom"), F.col("s").alias("start"), F.col("r").alias("ref"), F.col("v").alias("alt"), F.col("start").alias("n_start"), F.col("ref").alias("n_ref"), F.col("alt").alias("n_alt"))
+
+
+@query(
+    f"""ig AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE c = t_chrom AND start <= t_end + {FLANK} AND vend >= t_start - {FLANK})),
+nd AS (SELECT {_K4}, stable_id, CASE WHEN vend < t_start THEN t_start - vend ELSE start - t_end END AS d, CASE WHEN vend < t_start THEN 'right' ELSE 'left' END AS s FROM ig JOIN t ON c = t_chrom)
+--
+SELECT {_K4}, arg_min(stable_id, (d, stable_id)) AS nearest_id, min(d) AS nearest_distance, arg_min(s, (d, stable_id, s)) AS nearest_side FROM nd GROUP BY ALL"""
+)
+def nearest_gene(spark, sf_dir):
+    """The nearest transcript of each variant that is far from all of them."""
+    far = outside(V.placed(spark, sf_dir), overlaps(spark, sf_dir, FLANK), KEY)
+    t = V.transcripts(spark, sf_dir)
+    rows = near.nearest(far, t, KEY, ("c", "t_chrom"), (F.col("start"), F.col("vend")), (F.col("t_start"), F.col("t_end")), "stable_id").where("nearest_id is not null")
+    return rows.select(*KEY, "nearest_id", "nearest_distance", "nearest_side")

@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tarfile
 import time
 import urllib.error
 import urllib.request
+import uuid
 import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import features
+
 ENTITIES = ("variation", "transcript", "exon", "translation_core", "translation_sift", "regulatory", "motif")
 CACHE_TYPES = ("vep", "merged", "refseq")
 #: Where the public archive keeps a release.
@@ -40,18 +44,25 @@ def read_info(folder: str) -> dict[str, str]:
 
 
 def read_variation(spark: SparkSession, folder: str) -> DataFrame:
-    """Known variants of a legacy cache's tab-separated files, typed by info.txt's column list."""
+    """Known variants of a legacy cache's tab-separated files, typed by info.txt's column list.
+
+    Their indexes (.csi, .tbi) lie beside them and are no data.
+    """
     names = read_info(folder)["variation_cols"].split(",")
-    raw = spark.read.option("sep", "\t").option("recursiveFileLookup", "true").option("pathGlobFilter", "all_vars*").csv(folder)
+    raw = spark.read.option("sep", "\t").option("recursiveFileLookup", "true").option("pathGlobFilter", "all_vars*.gz").csv(folder)
     rows = raw.toDF(*names[: len(raw.columns)])
     value = lambda c: F.nullif(F.nullif(F.col(c), F.lit(".")), F.lit(""))
     whole = {"start": "long", "end": "long", "failed": "int", "somatic": "int", "strand": "int"}
     out = rows.select(*[(value(c).try_cast(whole[c]) if c in whole else value(c)).alias("chrom" if c == "chr" else c) for c in rows.columns])
-    return out.withColumns({"failed": F.coalesce("failed", F.lit(0)), "end": F.coalesce("end", "start")})
+    have = lambda c: F.col(c) if c in out.columns else F.lit(None)
+    return out.withColumns({"failed": F.coalesce(have("failed"), F.lit(0)), "end": F.coalesce(have("end"), "start")})
 
 
 def entity_source(spark: SparkSession, folder: str, entity: str) -> DataFrame | None:
-    """An entity of an unpacked cache: Parquet or JSON lines named after it, or the legacy variation files."""
+    """An entity of an unpacked cache: Parquet or JSON lines named after it, or the legacy variation files.
+
+    Features of legacy caches come from their region files (features.py).
+    """
     for suffix, kind in ((".parquet", "parquet"), (".json", "json"), (".jsonl", "json")):
         path = os.path.join(folder, entity + suffix)
         if os.path.exists(path):
@@ -168,8 +179,15 @@ def build_cache(
     root = os.path.join(cache_dir, "parquet", f"{release}_{assembly}_{cache_type}")
     out: list[tuple[str, int]] = []
     found = {e: entity_source(spark, source, e) for e in ENTITIES}
+    decoded = None
     if found["transcript"] is None and any(_PERL.match(f) for _, _, files in os.walk(source) for f in files):
-        raise ValueError(f"{source} holds features in Perl's own format, which is not read: give the entities as Parquet or JSON lines")
+        # region files are decoded once, to a table that the entities are read from
+        decoded = f"{root}/_decoded-{uuid.uuid4().hex}"
+        both = {"transcript": features.read_transcripts(spark, source), "regulatory": features.read_regulatory(spark, source)}
+        for name, rows in both.items():
+            rows.write.parquet(f"{decoded}/{name}")
+        own = features.entities(*(spark.read.parquet(f"{decoded}/{name}") for name in both))
+        found |= {e: own[e] for e in own if found[e] is None}
     for entity, rows in found.items():
         if rows is None:
             continue
@@ -183,6 +201,8 @@ def build_cache(
             out.append((r["f"].removeprefix("file://"), r["count"]))
             if on_progress:
                 on_progress(entity, "parquet", r["count"], done, total)
+    if decoded:
+        shutil.rmtree(decoded, ignore_errors=True)
     return out
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def read_lines(spark: SparkSession, path: str, task: int = RANGE) -> DataFrame:
     with _open(path) as (file, _):
         blocked = size == 0 or bgzf.member_size(file.read_at(min(size, 64), 0), 0) > 0
     if not blocked:
-        return spark.read.text(path) if path.endswith(".gz") else _decoded(spark, path)
+        return spark.read.text(path) if path.endswith(".gz") else decoded(spark.read.format("binaryFile").load(path))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as (file, n):
@@ -53,13 +56,13 @@ def read_lines(spark: SparkSession, path: str, task: int = RANGE) -> DataFrame:
 @contextmanager
 def _open(path: str) -> Iterator[tuple]:
     """A file of any file system that Arrow knows, for reads at places, and its size."""
-    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, place = _system(path)
     with system.open_input_file(place) as file:
         yield file, file.size()
 
 
-def _decoded(spark: SparkSession, path: str) -> DataFrame:
-    """Plain gzip under a suffix that Spark's reader does not know: one file to a task."""
+def decoded(files: DataFrame) -> DataFrame:
+    """Lines (value) of compressed files that were read whole (content), a file to a task."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,7 +71,7 @@ def _decoded(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(lines), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(lines[k : k + 10_000], pa.string())], names=["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "value string")
+    return files.select("content").mapInArrow(decode, "value string")
 
 
 def header(spark: SparkSession, path: str, first: int = 10_000) -> list[str]:
@@ -116,34 +119,79 @@ def to_lines(rows: DataFrame) -> DataFrame:
 def write_vcf(rows: DataFrame, head: list[str], path: str, compression: str | None = None, on_written=None, total: int = 0) -> int:
     """One file with the header and the records in their order; returns the number of records.
 
-    Records are sorted, and turned into compressed members of the file, in tasks; the driver
-    only joins their bytes, a partition at a time. ``on_written`` is called with the records
-    of a batch, those written so far, and ``total``.
+    Records are sorted, and each task writes its range, as compressed members, to a file of
+    its own attempt beside the target. Tasks return only names and sizes; the commit lets one more task
+    append the files of the attempts that won, piece by piece, and then renames the result. So no byte
+    of a record passes the driver, a lost or repeated task leaves nothing behind, and any file
+    system that Arrow knows will do. ``on_written`` is called with the records of finished
+    tasks, those written so far, and ``total``.
     """
     how = compression_of(path, compression)
-    pending = f"{path}.part"
     packed = {"bgzf": bgzf.compress, "gzip": _gzip}.get(how, bytes)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                data = packed(("\n".join(b.column(0).to_pylist()) + "\n").encode())
-                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([data], pa.binary())], names=["n", "data"])
-
-    lines = to_lines(rows).orderBy("row_idx", "alt_no").select("value").mapInArrow(pack, "n long, data binary")
-    n = 0
-    with open(pending, "wb") as out:
-        if head:
-            out.write(packed(("\n".join(head) + "\n").encode()))
-        for r in lines.toLocalIterator(prefetchPartitions=True):
-            out.write(r["data"])
-            n += r["n"]
-            if on_written:
-                on_written(r["n"], n, total)
-        if how == "bgzf":
-            out.write(bgzf.EOF)
-    os.replace(pending, path)
-    return n
+    system, place = _system(path)
+    folder = f"{place}.parts-{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    done = spark.sparkContext.accumulator(0)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, n, size = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
+        with _system(path)[0].open_output_stream(name) as out:
+            for b in batches:
+                if b.num_rows:
+                    size += out.write(packed(("\n".join(b.column(0).to_pylist()) + "\n").encode()))
+                    n += b.num_rows
+        done.add(n)
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([name]), pa.array([n]), pa.array([size])], names=["part", "name", "n", "size"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = _system(path)[0]
+        for _ in batches:
+            with target.open_output_stream(f"{folder}/whole-{TaskContext.get().taskAttemptId()}") as out:
+                size = out.write(packed(("\n".join(head) + "\n").encode())) if head else 0
+                for name in names:
+                    with target.open_input_stream(name) as part:
+                        while piece := part.read(PIECE):
+                            size += out.write(piece)
+                size += out.write(bgzf.EOF) if how == "bgzf" else 0
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/whole-{TaskContext.get().taskAttemptId()}"]), pa.array([size])], names=["name", "size"])
+
+    system.create_dir(folder)
+    try:
+        lines = to_lines(rows).orderBy("row_idx", "alt_no").select("value").mapInArrow(write, "part long, name string, n long, size long")
+        parts = sorted(_watched(lines.collect, done, on_written, total))
+        names = [r["name"] for r in parts if r["n"]]
+        whole = spark.range(0, 1, 1, 1).mapInArrow(join, "name string, size long").first()
+        system.move(whole["name"], place)
+    finally:
+        system.delete_dir(folder)
+    return sum(r["n"] for r in parts)
+
+
+#: Bytes of a file that the commit copies at once.
+PIECE = 8 << 20
+
+
+def _watched(work: Callable[[], list], done: Accumulator, on_written, total: int) -> list:
+    """The result of ``work``; meanwhile the records of finished tasks go to ``on_written``."""
+    if on_written is None:
+        return work()
+    told = 0
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(work)
+        while not wait([running], 0.2).done:
+            if done.value > told:  # a repeated task counts twice until the end
+                on_written(done.value - told, done.value, total)
+                told = done.value
+        out = running.result()
+    n = sum(r["n"] for r in out)
+    if n != told:
+        on_written(n - told, n, total)
+    return out
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def _gzip(data: bytes) -> bytes:
@@ -152,9 +200,4 @@ def _gzip(data: bytes) -> bytes:
     return gzip.compress(data, mtime=0)
 
 
-def write_vcf_parts(rows: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Record lines as many files of a folder, for outputs that no single machine should write."""
-    to_lines(rows).select("value").write.option("compression", compression).text(path)
-
-
-__all__ = ["csq_header", "header", "parse", "read_lines", "read_vcf", "to_lines", "write_vcf", "write_vcf_parts"]
+__all__ = ["csq_header", "header", "parse", "read_lines", "read_vcf", "to_lines", "write_vcf"]
