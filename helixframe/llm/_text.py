@@ -100,19 +100,14 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return h
 
 
-def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ``size`` bytes of ``a`` and of ``b`` from each pair of places on are the same."""
-    out = np.ones(len(size), bool)
-    eight = [np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), 0, (1,)) for x in (a, b)]
-    own, k = np.arange(len(size)), 0
-    while len(own):
-        left = np.minimum(size[own] - k, 8)
-        own, left = own[left > 0], left[left > 0]
-        mask = U64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(U64)
-        same = ((eight[0][at_a[own] + k] ^ eight[1][at_b[own] + k]) & mask) == 0
-        out[own[~same]] = False
-        own, k = own[same], k + 8
-    return out
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """64-bit keyed cryptographic hash of the bytes of each span; spans are ascending and disjoint.
+
+    With a key that is drawn anew for each call, no texts can be written to collide.
+    """
+    distinct, number = spans(buf, starts, ends)
+    table = np.frombuffer(b"".join([blake2b(x, digest_size=8, key=key).digest() for x in distinct]), "<u8")
+    return table[number]
 
 
 def rolling_hash(prefix: np.ndarray, width: int) -> np.ndarray:

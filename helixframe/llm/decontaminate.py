@@ -43,9 +43,7 @@ BLOCK_BYTES = 4 << 20
 class Queries:
     """All suffixes of a block of benchmark items, as word numbers."""
 
-    hashes: np.ndarray  # of the distinct words, ascending; word k has number k + 1
-    raw: np.ndarray  # their bytes
-    edges: np.ndarray
+    of: dict  # the number of each distinct word, from 1
     number: np.ndarray  # of each item word; each is the start of a suffix
     left: np.ndarray  # words of the suffix
     item: np.ndarray
@@ -57,15 +55,8 @@ class Queries:
 
     def numbers(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words of a lower-cased text."""
-        if not len(self.hashes) or not len(starts):
-            return np.zeros(len(starts), np.int64)
-        h = T.span_hash(low, starts, ends)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        alike = np.flatnonzero((self.hashes[at] == h) & (np.diff(self.edges)[at] == ends - starts))
-        good = T.same_bytes(low, starts[alike], self.raw, self.edges[at[alike]], (ends - starts)[alike])
-        out = np.zeros(len(starts), np.int64)
-        out[alike[good]] = at[alike[good]] + 1
-        return out
+        distinct, own = T.spans(low, starts, ends)
+        return np.array([self.of.get(x, 0) for x in distinct], np.int64)[own]
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,12 +67,7 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def build_queries(ids: list, texts: list, window: int = WINDOW) -> Queries:
     low, starts, ends, row = _words(*T.flat(pa.array(texts, pa.string())))
     strings, own = T.spans(low, starts, ends)
-    edges = np.append(0, np.cumsum([len(x) for x in strings])).astype(np.int64)
-    h = T.span_hash(np.frombuffer(b"".join(strings), np.uint8), edges[:-1], edges[1:])
-    order = np.argsort(h, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    number = rank[own] + 1 if len(own) else np.zeros(0, np.int64)
+    number = own + 1
     bounds = T.row_bounds(row, len(texts))
     size = np.diff(bounds)[row] if len(row) else np.zeros(0, np.int64)
     start = np.arange(len(row)) - bounds[row] if len(row) else np.zeros(0, np.int64)
@@ -89,10 +75,8 @@ def build_queries(ids: list, texts: list, window: int = WINDOW) -> Queries:
     n = np.minimum(left, window)
     prefix = np.where(np.arange(window) < n[:, None], _following(number, window), 0)
     highs = np.where(np.arange(window) < n[:, None], prefix, np.iinfo(np.int32).max)
-    strings = [strings[k] for k in order.tolist()]
-    edges = np.append(0, np.cumsum([len(x) for x in strings])).astype(np.int64)
     at = np.where((left >= window) | (start == 0), n, 0)
-    return Queries(h[order], np.frombuffer(b"".join(strings), np.uint8), edges, number, left, row, start, at, _keys(prefix), _keys(highs), [None if x is None else str(x) for x in ids])
+    return Queries({x: k for k, x in enumerate(strings, 1)}, number, left, row, start, at, _keys(prefix), _keys(highs), [None if x is None else str(x) for x in ids])
 
 
 def _following(number: np.ndarray, window: int) -> np.ndarray:

@@ -33,6 +33,7 @@ is held whole in one task, with about 100 bytes for each of its tokens.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,13 +64,13 @@ START, END = np.uint64(0x5354415254A5A5A5), np.uint64(0x454E44A5A5A5A5A5)
 ORDERS = (1, 2, 3)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(buf: np.ndarray, offsets: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes with an end mark after each text, and the bounds of each text's tokens."""
     rows = len(offsets) - 1
     low = T.lower_ascii(buf)
     starts, ends, row = T.words(low, offsets, T.NOT_BLANK)
     out = np.full(len(starts) + rows, END, np.uint64)
-    out[np.arange(len(starts)) + row] = T.span_hash(low, starts, ends)
+    out[np.arange(len(starts)) + row] = T.word_hash(low, starts, ends, key)
     return out, T.row_bounds(row, rows) + np.arange(rows + 1)
 
 
@@ -265,6 +266,7 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
     The model learns from the rows for which ``held_out`` (a condition on the id) is not true.
     """
     bounded_batches(documents)
+    key = secrets.token_bytes(16)  # for the hashes of words: nobody can write words that collide
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
     block, n_blocks = _blocks(documents, id_col, int(total))
@@ -292,7 +294,7 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
             held_, block_ = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             buf, offsets = T.flat(b.column(2))
             for i, j in T.slices(offsets):
-                token, bounds = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                token, bounds = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key)
                 for x, v in zip(kept, (token, np.diff(bounds), block_[i:j], ~held_[i:j].astype(bool)), strict=True):
                     x.append(v)
                 size += len(token)
@@ -334,7 +336,7 @@ def score(documents: DataFrame, held_out: Column | None = None, id_col: str = "d
         buf, offsets = T.flat(docs.column("t"))
         token, bounds, at = [], [np.zeros(1, np.int64)], 0
         for i, j in T.slices(offsets):
-            h, own = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            h, own = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key)
             token.append(h)
             bounds.append(own[1:] + at)
             at += len(h)

@@ -30,6 +30,7 @@ in one task, with about 40 bytes for each of its words beside it.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,24 +62,30 @@ def _seeds(n: int) -> np.ndarray:
     return T.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, key: bytes, width: int = WORDS) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """Sorted distinct shingle hashes of each row, and a digest of the set.
+
+    The digest of a set of one shingle has that shingle's words, so that short texts are told
+    apart by 128 bits as long ones are.
+    """
     low = T.lower_ascii(buf)
     starts, ends, row = T.words(low, offsets, T.NOT_BLANK)
     n_rows = len(offsets) - 1
     if not len(starts):
-        return [np.zeros(0, np.uint64)] * n_rows
-    h = T.span_hash(low, starts, ends)
+        return [np.zeros(0, np.uint64)] * n_rows, [None] * n_rows
+    h = T.word_hash(low, starts, ends, key)
     bounds = T.row_bounds(row, n_rows)
     all_ = T.combine(h, width)
-    out = []
+    out, digests = [], []
     for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if j - i >= width:
             s = np.sort(all_[i : j - width + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         else:
             out.append(T.combine(h[i:j], j - i) if j > i else np.zeros(0, np.uint64))
-    return out
+        words = b" ".join([low[starts[k] : ends[k]].tobytes() for k in range(i, min(j, i + width))]) if len(out[-1]) == 1 else b""
+        digests.append(hashlib.blake2b(out[-1].tobytes() + words, digest_size=16, key=key).digest() if j > i else None)
+    return out, digests
 
 
 def registers(sets: list[np.ndarray], n: int = BANDS * ROWS) -> np.ndarray:
@@ -140,18 +147,18 @@ def at_least(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_secon
     return rising & (most >= j)
 
 
-def _sketched(rows: DataFrame) -> DataFrame:
+def _sketched(rows: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = T.flat(b.column(1))
             n, digest, sketch = [], [], []
             for i, j in T.slices(offsets):
-                sets = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets, own = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key)
+                digest += own
                 full = [s for s in sets if len(s)]
                 regs = iter(registers(full)) if full else iter(())
                 for s in sets:
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sketch.append(next(regs).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "n_shingles", "digest", "sketch"])
 
@@ -227,16 +234,18 @@ def _star_links(buckets: DataFrame, shards: int) -> DataFrame:
     return across.union(within).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _full_sets(documents: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
+def _full_sets(documents: DataFrame, wanted: DataFrame, reps: DataFrame, key: bytes) -> DataFrame:
     """(id, shingles): the sets of the wanted ids as packed hashes, one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = T.flat(b.column(1))
             out: list[bytes] = []
+            digest: list[bytes | None] = []
             for i, j in T.slices(offsets):
-                out += [s.tobytes() for s in shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in out]
+                sets, own = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key)
+                out += [s.tobytes() for s in sets]
+                digest += own
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], names=["id", "digest", "shingles"])
 
     # one plan at every size: the texts are dealt by id, however few ids are wanted
@@ -250,6 +259,8 @@ def linked(first: np.ndarray, second: np.ndarray, percent: int = PERCENT) -> boo
         first, second = second, first
     if not len(first) or 100 * len(first) < percent * len(second):
         return False
+    if len(second) == 1:  # sets of different digests: two shingles, whatever their hashes
+        return False
     both = int((second[np.minimum(np.searchsorted(second, first), len(second) - 1)] == first).sum())
     return 100 * both >= percent * (len(first) + len(second) - both)
 
@@ -363,8 +374,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: id_col, n_shingles, component_id (least id reachable by links), kept (is that id)."""
     spark = documents.sparkSession
     paths: list = []
+    key = secrets.token_bytes(16)  # for the hashes of words: nobody can write texts that collide
     rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stored(_sketched(rows), paths)
+    sketches = stored(_sketched(rows, key), paths)
     one = sketches.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     classes = one.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = stored(one.join(classes, "digest").select("id", "rep", "digest"), paths)
@@ -372,7 +384,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     n = reps.count()
     shards = shards or max(8, -(-n * BANDS // SHARD_KEYS))
     stars = stored(_star_links(_buckets(reps, shards), shards), paths)
-    sets = stored(_full_sets(rows, stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), reps), paths)
+    sets = stored(_full_sets(rows, stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), reps, key), paths)
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     good = stored(_verified(_likely(best, reps), sets), paths)
 

@@ -157,3 +157,14 @@ def test_token_counts(spark):
     got = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in rows}
     assert count_tokens(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("one,two", [("~q`%2rokf4<_0}`u", "w&ws9y,u_<~ajaep"), ("czzicygvjcyl3a6m", "5fkqm8khfxlr5rcp")])
+def test_words_that_collide_in_mixed_hashes(spark, one, two):
+    both = frame(spark, [(1, one), (2, two)])
+    assert [(r.component_id, r.kept) for r in near_duplicates(both).orderBy("doc_id").collect()] == [(1, True), (2, True)]
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1][0]
+    scores = lm_score.score_held_out(frame(spark, [(held, two), (held + 1, one)])).collect()
+    assert {r.doc_id: r.n_known for r in scores}[held] == 1
+    items = spark.createDataFrame([("p", one), ("q", two)], "item_id string, text string")
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in dc.find_contamination(both, items).collect()} == {1: (1, ["p"]), 2: (1, ["q"])} if one.isalnum() else True
