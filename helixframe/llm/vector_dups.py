@@ -3,8 +3,8 @@
 1. Rows of equal label and vector form a class at once; its smallest id stands for it and
    carries their number.
 2. Spherical k-means on a bounded sample (``PER_CELL`` vectors for each cell, ``LEAST_SAMPLE``
-   at least) gives as many centres as the square root of the number of classes, so cells hold
-   about as many vectors as there are cells, at every size. A vector's home is the cell of its nearest centre.
+   at least) gives a quarter as many centres as the square root of the number of classes, at every
+   size. A vector's home is the cell of its nearest centre.
 3. A pair may lie on both sides of a border. So a vector is also copied to each cell whose
    border with its home is nearer than ``margin()``: of two linked vectors, one in that cell,
    the other is at most sin(angle) away from the border, and in d dimensions rarely
@@ -39,7 +39,7 @@ from .components import components
 LEAST = 0.93
 #: Sampled vectors for each cell; least sample; rounds of k-means.
 PER_CELL, LEAST_SAMPLE, ROUNDS = 8, 6_000, 8
-SIGMAS = 4.5
+SIGMAS = 3.5
 #: Vectors of a block; salts of a cell with several.
 BLOCK, SALTS = 2_048, 32
 
@@ -180,7 +180,7 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = stored(held.select("label", "dim", "id", "n", "vec"), paths)
     dims = {r[0]: r[1] for r in reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()}
     dim, size = next(iter(dims.items()), (1, 0))
-    cells = cells or max(1, round(size**0.5))
+    cells = cells or max(1, round(size**0.5 / 4))
     want = max(LEAST_SAMPLE, PER_CELL * cells)
     sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(want).select("vec").toArrow().column(0)
     centres = spherical_kmeans(unit(_vectors(sample)), cells) if len(sample) else np.zeros((1, dim))
