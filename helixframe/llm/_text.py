@@ -73,16 +73,20 @@ def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[b
 _SHORT = 64
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes | None = None) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes give equal hashes.
 
     Eight bytes at a time are mixed into the value; up to eight bytes of one length never
-    collide. Spans above ``_SHORT`` bytes get a keyed cryptographic hash.
+    collide. Spans above ``_SHORT`` bytes get a keyed cryptographic hash. Without a ``key``
+    longer spans can be written to collide. With one, that is drawn anew for each call, the
+    value that each block meets is secret, so they cannot.
     """
     size = ends - starts
-    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D))
+    secret = None if key is None else np.frombuffer(blake2b(key, digest_size=32, person=b"spans").digest(), "<u8")
+    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + (U64(0x2545F4914F6CDD1D) if secret is None else secret[0]))
     if not len(starts):
         return h
+    by = U64(0x9FB21C651E98DF25) if secret is None else secret[1] | U64(1)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
     own, at, left = slice(None), starts, size
@@ -93,23 +97,14 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
                 break
             at, left = starts[own] + 8 * k, size[own] - 8 * k
         chunk = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.clip(left, 1, 8)) * 8).astype(U64))
-        h[own] = mix((h[own] * U64(0x9FB21C651E98DF25) if k else h) ^ chunk)
+        x = mix((h[own] * by if k else h) ^ chunk)
+        h[own] = x if secret is None else mix(x + secret[2])
     for k in np.flatnonzero(size > _SHORT).tolist():
-        digest = blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, key=b"span").digest()
+        digest = blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, key=key or b"span").digest()
         h[k] = int.from_bytes(digest, "little")
     return h
 
 
-def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
-    """64-bit keyed cryptographic hash of the bytes of each span; spans are ascending and disjoint.
-
-    With a key that is drawn anew for each call, no texts can be written to collide.
-    """
-    distinct, number = spans(buf, starts, ends)
-    table = np.frombuffer(b"".join([blake2b(x, digest_size=8, key=key).digest() for x in distinct]), "<u8")
-    return table[number]
-
-
 def rolling_hash(prefix: np.ndarray, width: int) -> np.ndarray:
     """Unmixed polynomial hash of every ``width``-byte string of the buffer.
 

@@ -70,7 +70,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, key: bytes) -> tuple[np.ndarray
     low = T.lower_ascii(buf)
     starts, ends, row = T.words(low, offsets, T.NOT_BLANK)
     out = np.full(len(starts) + rows, END, np.uint64)
-    out[np.arange(len(starts)) + row] = T.word_hash(low, starts, ends, key)
+    out[np.arange(len(starts)) + row] = T.span_hash(low, starts, ends, key)
     return out, T.row_bounds(row, rows) + np.arange(rows + 1)
 
 
