@@ -6,9 +6,9 @@ sequence; no words: empty and linked with nothing). The steps:
 1. One row of sketch per document: register i is floor(1 - log_b(x)) of the least of
    exponentially distributed hashes x of the shingles, truncated to [0, 65535].
    Documents with equal sets form a class at once; its smallest id stands for it.
-2. Bands of registers are hashed. Every Arrow batch links the members of a bucket to
-   the batch's smallest id and hands only that id on, so a bucket that holds a third
-   of all rows reaches the next task as one row for each batch.
+2. Bands of registers are hashed. A task gathers ``FLUSH_KEYS`` of them, links the members of
+   a bucket to the smallest id among them and hands only that id on, so a bucket that holds a
+   third of all rows reaches the next task as one key for each gathering.
 3. Each candidate is paired with the leader it shares most bands with. Pairs whose joint
    maximum-likelihood estimate of the similarity is ``SIGMAS`` standard errors below the
    threshold drop out, the others are verified on full sets. Verified links are closed to
@@ -51,6 +51,8 @@ RATE = 20.0
 BANDS, ROWS = 40, 4
 #: Band keys that meet in one task of step 2.
 SHARD_KEYS = 400_000
+#: Band keys that a task of step 2 gathers before it deals them to shards.
+FLUSH_KEYS = 2_000_000
 #: Documents and shingles in a block of step 4; salts of a candidate group.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 SALTS = 32
@@ -73,7 +75,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, key: bytes, width: int =
     n_rows = len(offsets) - 1
     if not len(starts):
         return [np.zeros(0, np.uint64)] * n_rows, [None] * n_rows
-    h = T.word_hash(low, starts, ends, key)
+    h = T.span_hash(low, starts, ends, key)
     bounds = T.row_bounds(row, n_rows)
     all_ = T.combine(h, width)
     out, digests = [], []
@@ -165,36 +167,53 @@ def _sketched(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, digest binary, sketch binary")
 
 
+def _leaders(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the least id of each; the other ids, each with its key's least."""
+    order = np.lexsort((who, keys))
+    keys, who = keys[order], who[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    leader = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = who != leader
+    return keys[new], who[new], who[other], leader[other]
+
+
+def _dealt_keys(keys: np.ndarray, who: np.ndarray, shards: int) -> pa.RecordBatch:
+    """(shard, blob) rows of the shards that occur, however many there are."""
+    to = (keys >> np.uint64(32)) % np.uint64(shards)
+    order = np.argsort(to, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
+    blobs = [np.stack([keys[own].view(np.int64), who[own]]).tobytes() for own in np.split(order, first[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(to[order[first]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+
 def _buckets(sketches: DataFrame, shards: int) -> DataFrame:
-    """(shard, blob): of each Arrow batch, band keys with the batch's leader; and its inner links (shard -1)."""
+    """(shard, blob): band keys of ``FLUSH_KEYS`` at a time with their leader; and their inner links (shard -1).
+
+    A task gathers keys before it deals them, so that a row holds several even where there are many shards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, who, member, leader = _leaders(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for k in range(0, len(member), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([np.stack([member[k : k + 100_000], leader[k : k + 100_000]]).tobytes()], pa.binary())], names=["shard", "blob"])
+            yield _dealt_keys(keys, who, shards)
+
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
             regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
-            keys = band_keys(regs).ravel()
-            who = np.repeat(ids, BANDS)
-            order = np.lexsort((who, keys))
-            keys, who = keys[order], who[order]
-            new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            leader = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-            other = who != leader
-            shard, blob = [], []
-            if other.any():
-                shard.append(-1)
-                blob.append(np.stack([who[other], leader[other]]).tobytes())
-            keys, who = keys[new], who[new]
-            to = (keys >> np.uint64(32)) % np.uint64(shards)
-            order = np.argsort(to, kind="stable")
-            bounds = np.searchsorted(to[order], np.arange(shards + 1))
-            for s in range(shards):
-                own = order[bounds[s] : bounds[s + 1]]
-                if len(own):
-                    shard.append(s)
-                    blob.append(np.stack([keys[own].view(np.int64), who[own]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blob, pa.binary())], names=["shard", "blob"])
+            held.append((band_keys(regs).ravel(), np.repeat(ids, BANDS)))
+            size += len(ids) * BANDS
+            if size >= FLUSH_KEYS:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     return sketches.select("id", "sketch").mapInArrow(run, "shard long, blob binary")
 
@@ -217,12 +236,7 @@ def _star_links(buckets: DataFrame, shards: int) -> DataFrame:
 
     def merge(table: pa.Table) -> pa.Table:
         keys, who = _pairs(table.column("blob").to_pylist())
-        order = np.lexsort((who, keys))
-        keys, who = keys[order], who[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        leader = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        other = who != leader
-        return pa.Table.from_batches([_counted(who[other], leader[other])])
+        return pa.Table.from_batches([_counted(*_leaders(keys.view(np.uint64), who)[2:])])
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

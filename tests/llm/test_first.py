@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from helixframe.llm import _text as T
 from helixframe.llm import decontaminate as dc
-from helixframe.llm import lm_score
+from helixframe.llm import lm_score, near_dups
 from helixframe.llm.decontaminate import decontaminate, find_contamination
 from helixframe.llm.near_dups import drop_near_duplicates, near_duplicates
 from helixframe.llm.queries import op3_decontaminate, op9_token_counts, op10_near_dups
@@ -168,3 +170,26 @@ def test_words_that_collide_in_mixed_hashes(spark, one, two):
     assert {r.doc_id: r.n_known for r in scores}[held] == 1
     items = spark.createDataFrame([("p", one), ("q", two)], "item_id string, text string")
     assert {r.doc_id: (r.n_hit, r.item_ids) for r in dc.find_contamination(both, items).collect()} == {1: (1, ["p"]), 2: (1, ["q"])} if one.isalnum() else True
+
+
+def test_keys_of_many_shards_are_dealt_in_seconds():
+    rng = np.random.default_rng(1)
+    keys, who = rng.integers(0, 2**63, 200_000).astype(np.uint64), np.arange(200_000)
+    began = time.time()
+    dealt = near_dups._dealt_keys(keys, who, 100_000)
+    assert time.time() - began < 5
+    both = near_dups._pairs(dealt.column(1).to_pylist())
+    assert sorted(zip(both[0].view(np.uint64).tolist(), both[1].tolist(), strict=True)) == sorted(zip(keys.tolist(), who.tolist(), strict=True))
+    assert all((k >> 32) % 100_000 == s for s, blob in zip(dealt.column(0).to_pylist(), dealt.column(1).to_pylist(), strict=True) for k in near_dups._pairs([blob])[0].tolist())
+    distinct, leaders, member, leader = near_dups._leaders(np.array([5, 3, 5, 5], np.uint64), np.array([9, 1, 4, 7]))
+    assert (distinct.tolist(), leaders.tolist(), member.tolist(), leader.tolist()) == ([3, 5], [1, 4], [7, 9], [4, 4])
+
+
+def test_keyed_hash_hides_what_collides():
+    one, two = b"~q`%2rokf4<_0}`u", b"w&ws9y,u_<~ajaep"
+    buf = np.frombuffer(one + two, np.uint8)
+    plain = T.span_hash(buf, np.array([0, 16]), np.array([16, 32]))
+    assert plain[0] == plain[1]  # found against the hash without a key
+    for key in (b"a" * 16, b"b" * 16):
+        keyed = T.span_hash(buf, np.array([0, 16]), np.array([16, 32]), key)
+        assert keyed[0] != keyed[1]
