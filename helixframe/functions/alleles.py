@@ -49,6 +49,11 @@ def trimmed_end(start: Column, ref: Column, alt: Column) -> Column:
 SYMBOLS = {"<DEL": "deletion", "<DUP:TANDEM": "tandem_duplication", "<DUP": "duplication", "<INS": "insertion", "<INV": "inversion", "<CNV": "copy_number_variation", "<CN": "copy_number_variation"}
 
 
+def symbolic(alt: Column) -> Column:
+    """Whether an allele is a symbol or a breakend; a short test, as filters that are pushed down repeat it."""
+    return F.startswith(alt, F.lit("<")) | F.contains(alt, F.lit("[")) | F.contains(alt, F.lit("]"))
+
+
 def symbolic_kind(alt: Column) -> Column:
     """What a symbolic allele or a breakend stands for; null for alleles spelled out in bases."""
     kind = F.when(alt.rlike(r"[\[\]]"), "chromosome_breakpoint")
@@ -59,14 +64,14 @@ def symbolic_kind(alt: Column) -> Column:
 
 def changes(ref: Column, alt: Column) -> Column:
     """Whether there is an effect to look for: not for a star, a missing allele or one that equals the reference."""
-    return F.coalesce(~alt.isin("*", "<*>", "<NON_REF>", ".") & (F.upper(ref) != F.upper(alt)), F.lit(False))
+    return F.coalesce(~alt.isin("*", "<*>", "<NON_REF>", ".") & (ref != alt) & (F.upper(ref) != F.upper(alt)), F.lit(False))
 
 
 def symbolic_end(start: Column, alt: Column, info: Column) -> Column:
     """Last base of a symbolic allele: INFO's END, else by SVLEN, else its first base."""
     end, size = (F.regexp_extract(info, f"(?:^|;){k}=-?([0-9]+)", 1).try_cast("long") for k in ("END", "SVLEN"))
     last = F.coalesce(end, start + size, start + 1)
-    return F.when(symbolic_kind(alt).isin("insertion", "chromosome_breakpoint"), start).otherwise(F.greatest(last, start + 1))
+    return F.when(F.startswith(alt, F.lit("<INS")) | ~F.startswith(alt, F.lit("<")), start).otherwise(F.greatest(last, start + 1))
 
 
 def variant_class(ref: Column, alt: Column) -> Column:

@@ -3,7 +3,8 @@
 A feature goes to the level whose bins are as long as it is, so it lies in at most two
 bins however long it is; a variant goes to its bins of every level in use. Rows meet on
 (chromosome, level, bin) and an exact overlap test follows. A pair that meets in several
-bins is kept in the first common one, which needs no distinct.
+bins is kept in the first common one, which needs no distinct. The few bins that hold a
+chromosome's arm are split by a salt.
 """
 
 from __future__ import annotations
@@ -17,30 +18,44 @@ STEP = 8
 LEVELS = 6
 
 
+#: From this level on (bins of 2 Mb), where a bin holds many variants and features are few, variants
+#: are dealt to so many salts and features copied to each.
+WIDE, SALTS = 3, 32
+
+
+def _salts(level: Column) -> Column:
+    return F.when(level >= WIDE, F.lit(SALTS)).otherwise(F.lit(1))
+
+
 def _bin(x: Column, level: Column) -> Column:
     """Number of the bin of a position; whole numbers throughout."""
     return F.floor(x / F.element_at(F.array(*[F.lit(BIN * STEP**k) for k in range(LEVELS)]), level + 1)).cast("long")
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_range: tuple[Column, Column], right_range: tuple[Column, Column]) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], sorted_left: bool = False) -> DataFrame:
     """Pairs with equal chromosome whose closed ranges overlap.
 
+    ``sorted_left``: the left ranges are known to be in order and not null, so nothing tests them.
+
     ``on`` names the chromosome columns; column names of both sides must differ. Null
     bounds match nothing.
     """
     l0, l1 = (x.cast("long") for x in left_range)
     r0, r1 = (x.cast("long") for x in right_range)
     level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(r1 - r0 + 1, F.lit(1)) / F.lit(BIN)) / F.log2(F.lit(STEP))))).cast("int")
-    a = left.withColumns({"__l0": l0, "__l1": l1}).where("__l0 <= __l1")
+    a = left.withColumns({"__l0": l0, "__l1": l1})
+    a = a if sorted_left else a.where("__l0 <= __l1")
     b = right.withColumns({"__r0": r0, "__r1": r1}).where("__r0 <= __r1").withColumn("__level2", level)
     # which levels the features use (six at most): variants go to those only
     used = b.agg(F.collect_set("__level2")).scalar()
+    b = b.withColumn("__salt2", F.explode(F.sequence(F.lit(0), _salts(F.col("__level2")) - 1)))
     b = b.withColumn("__bin2", F.explode(F.sequence(_bin(F.col("__r0"), F.col("__level2")), _bin(F.col("__r1"), F.col("__level2")))))
     a = a.withColumn("__levels", used).withColumn("__level", F.explode("__levels")).drop("__levels")
     a = a.withColumn("__bin", F.explode(F.sequence(_bin(F.col("__l0"), F.col("__level")), _bin(F.col("__l1"), F.col("__level")))))
-    met = a.join(b, (F.col(on[0]) == F.col(on[1])) & (F.col("__level") == F.col("__level2")) & (F.col("__bin") == F.col("__bin2")))
+    a = a.withColumn("__salt", F.pmod(F.xxhash64("__l0"), _salts(F.col("__level"))).cast("int"))
+    met = a.join(b, (F.col(on[0]) == F.col(on[1])) & (F.col("__level") == F.col("__level2")) & (F.col("__bin") == F.col("__bin2")) & (F.col("__salt") == F.col("__salt2")))
     met = met.where("__l0 <= __r1 and __l1 >= __r0").where(F.col("__bin") == F.greatest(_bin(F.col("__l0"), F.col("__level")), _bin(F.col("__r0"), F.col("__level"))))
-    return met.drop("__l0", "__l1", "__r0", "__r1", "__level", "__level2", "__bin", "__bin2")
+    return met.drop("__l0", "__l1", "__r0", "__r1", "__level", "__level2", "__bin", "__bin2", "__salt", "__salt2")
 
 
 def outside(left: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import annotate_frame
+from ..api import annotate_frame, picked
 from ..functions import alleles as al
 from ..functions import consequence as cq
 from ..functions import csq
@@ -243,13 +243,17 @@ def filter_high(spark, sf_dir):
 
 @query(_B + _S + f"SELECT {_K4}, arg_min(b.term, rank) AS most_severe_consequence FROM b JOIN s USING (term) GROUP BY ALL")
 def most_severe(spark, sf_dir):
-    return basic(spark, sf_dir).groupBy(*KEY).agg(F.min_by("term", cq.rank(F.col("term"))).alias("most_severe_consequence"))
+    # ranks are numbers, so each task folds them in a hash table
+    least = basic(spark, sf_dir).groupBy(*KEY).agg(F.min(cq.rank(F.col("term"))).alias("r"))
+    return least.select(*KEY, F.get(F.array(*[F.lit(t) for t, _ in TERMS]), F.col("r")).alias("most_severe_consequence"))
 
 
 @query(_B + _S + f"SELECT {_K4}, stable_id, b.term FROM b JOIN s USING (term) QUALIFY row_number() OVER (PARTITION BY {_K4} ORDER BY rank, is_canonical DESC, stable_id) = 1")
 def pick_transcript(spark, sf_dir):
+    # only what is compared and returned goes into the aggregation
+    rows = basic(spark, sf_dir).select(*KEY, "stable_id", "term", "is_canonical")
     order = [cq.rank(F.col("term")), ~F.col("is_canonical"), F.col("stable_id")]
-    return op.pick(basic(spark, sf_dir), KEY, order).select(*KEY, "stable_id", "term")
+    return op.pick(rows, KEY, order).select(*KEY, "stable_id", "term")
 
 
 @query(_B + "\n--\nSELECT term, count(*) AS n FROM b GROUP BY term")
@@ -341,13 +345,17 @@ _UNION = f"""fu AS (SELECT {_K4}, 'Transcript' AS Feature_type, stable_id AS Fea
  UNION ALL SELECT {_K4}, 'Intergenic', NULL, 'intergenic_variant' FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE c = t_chrom AND start <= t_end + {FLANK} AND vend >= t_start - {FLANK}) AND NOT EXISTS (SELECT 1 FROM r WHERE c = r_chrom AND start <= r_end AND vend >= r_start))"""
 
 
-@query(_B + ", " + _UNION + f"\n--\nSELECT {_K4}, Feature_type, Feature, term FROM fu")
-def feature_union(spark, sf_dir):
-    """All entries of a variant; the intergenic one is every variant's, and goes where there are others."""
+def _every_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of a variant, and an intergenic one, which counts only where there are no others."""
     genes = basic(spark, sf_dir).select(*KEY, F.lit("Transcript").alias("Feature_type"), F.col("stable_id").alias("Feature"), "term")
     reg = overlap_regulatory(spark, sf_dir).select(*KEY, F.lit("RegulatoryFeature").alias("Feature_type"), F.col("reg_id").alias("Feature"), "term")
     none = V.variants(spark, sf_dir).select(*KEY, F.lit("Intergenic").alias("Feature_type"), F.lit(None).cast("string").alias("Feature"), F.lit("intergenic_variant").alias("term"))
-    every = genes.unionByName(reg).unionByName(none)
+    return genes.unionByName(reg).unionByName(none)
+
+
+@query(_B + ", " + _UNION + f"\n--\nSELECT {_K4}, Feature_type, Feature, term FROM fu")
+def feature_union(spark, sf_dir):
+    every = _every_entry(spark, sf_dir)
     return every.withColumn("n", F.count("*").over(op.Window.partitionBy(*KEY))).where("n = 1 or Feature_type <> 'Intergenic'").drop("n")
 
 
@@ -356,7 +364,7 @@ _PACKED = _B + ", " + _UNION + f""", pk AS (SELECT {_K4}, string_agg(concat_ws('
 
 @query(_PACKED + f"\n--\nSELECT {_K4}, CSQ FROM pk")
 def csq_pack(spark, sf_dir):
-    return csq.pack(feature_union(spark, sf_dir), KEY, ["alt", "term", "Feature_type", "Feature"])
+    return csq.pack(_every_entry(spark, sf_dir), KEY, ["alt", "term", "Feature_type", "Feature"], alone="Intergenic")
 
 
 @query(_B + ", " + _UNION + f"\n--\nSELECT {_K4}, CAST(row_number() OVER (PARTITION BY {_K4} ORDER BY CASE Feature_type WHEN 'Transcript' THEN 0 WHEN 'RegulatoryFeature' THEN 1 ELSE 3 END, coalesce(Feature, '')) - 1 AS INT) AS entry_no, alt AS Allele, term AS Consequence, Feature_type, Feature FROM fu")
@@ -746,3 +754,69 @@ def nearest_gene(spark, sf_dir):
     t = V.transcripts(spark, sf_dir)
     rows = near.nearest(far, t, KEY, ("c", "t_chrom"), (F.col("start"), F.col("vend")), (F.col("t_start"), F.col("t_end")), "stable_id").where("nearest_id is not null")
     return rows.select(*KEY, "nearest_id", "nearest_distance", "nearest_side")
+
+
+#: A motif at each supplier: 200 positions, frequencies by arithmetic.
+_FREQUENCY = "CAST(1 + (j * j * 7 + b * (11 + s_suppkey) * 5) % 97 + 400 * CAST((j + s_suppkey) % 3 = 0 AND b = j % 4 AS INT) AS DOUBLE)"
+
+
+@query(
+    f"""mt AS (SELECT concat('MF', s_suppkey) AS id, CAST(1 + s_suppkey % 22 AS VARCHAR) AS m_chrom, 1 + (s_suppkey * 9973) % 1000000 AS m_start, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END AS strand, list_transform(range(0, 200), lambda j: list_transform(range(0, 4), lambda b: {_FREQUENCY})) AS f FROM supplier),
+sh AS (SELECT id, m_chrom, m_start, strand, list_transform(f, lambda p: list_transform(p, lambda x: (x / list_sum(p) + 0.01::DOUBLE) / 1.04::DOUBLE)) AS s FROM mt),
+sc AS (SELECT *, list_sum(list_transform(s, lambda p: log2(list_max(p)) - log2(list_min(p)))) AS span FROM sh),
+hm AS (SELECT v.*, sc.*, CASE WHEN strand = 1 THEN start - m_start + 1 ELSE m_start + 199 - start + 1 END AS pos, instr('ACGT', {_TURNED.format("ref")}) AS r, instr('ACGT', {_TURNED.format("alt")}) AS a FROM v JOIN sc ON c = m_chrom AND start BETWEEN m_start AND m_start + 199 WHERE length(ref) = 1 AND length(alt) = 1)
+--
+SELECT {_K4}, id AS feature, CAST(pos AS VARCHAR) AS motif_pos, CASE WHEN 2 + list_sum(list_transform(s[pos], lambda x: x * log2(x))) >= 1.5 THEN 'Y' ELSE 'N' END AS informative, round((log2(s[pos][a]) - log2(s[pos][r])) / span, 3) + 0.0 AS change FROM hm"""
+)
+def motif_scores(spark, sf_dir):
+    """Single bases in motifs: their position, whether it is informative, and how the motif's score changes."""
+    k = F.col("s_suppkey")
+    start = (k * 9973) % 1_000_000 + 1
+    matrix = F.expr(f"transform(sequence(0, 199), j -> transform(sequence(0, 3), b -> {_FREQUENCY}))")
+    motifs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((k % 22 + 1).cast("string").alias("chrom"), start.alias("start"), (start + 199).alias("end"), F.concat(F.lit("MF"), k.cast("string")).alias("stable_id"), F.when(k % 2 == 0, 1).otherwise(-1).alias("strand"), matrix.alias("matrix"))
+    rows = _engine(spark, sf_dir, {"motif": motifs}).where("Feature_type = 'MotifFeature' and length(ref) = 1 and length(alt) = 1")
+    return rows.select(*KEY, F.col("Feature").alias("feature"), F.col("MOTIF_POS").alias("motif_pos"), F.col("HIGH_INF_POS").alias("informative"), F.col("MOTIF_SCORE_CHANGE").cast("double").alias("change"))
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of all variants, with notation against a reference of a megabase for each chromosome; for the bench."""
+    piece = F.concat(*[F.translate(F.sha2(F.concat_ws("|", "c", "k", F.lit(x)), 512), "0123456789abcdef", "ACGTACGTACGTACGT") for x in range(4)])
+    names = spark.range(1, 23, 1, 4).select(F.col("id").cast("string").alias("c")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    chunks = names.select(F.col("c").alias("f_chrom"), F.col("k").cast("long").alias("chunk_no"), F.repeat(piece, 160).alias("seq"))
+    known = V.known(spark, sf_dir).select(F.col("k_chrom").alias("chrom"), F.col("k_start").alias("start"), "variation_name", "allele_string", "failed", F.lit("A:0.1").alias("AFR"))
+    tables = _gene_tables(spark, sf_dir) | _coding_tables(spark, sf_dir) | {"variation": known}
+    v = V.variants(spark, sf_dir).select(F.xxhash64(*KEY).alias("row_idx"), F.lit(0).alias("alt_no"), *KEY, al.chrom_norm(F.col("chrom")).alias("chrom_norm"))
+    return annotate_frame(v, tables, AnnotateOptions(everything=True, reference_fasta="given as chunks"), chunks)
+
+
+@query(
+    f"""{_G}, en AS (SELECT {_K4}, 'Transcript' AS ft, stable_id AS id, CAST(NOT is_canonical AS INT) AS c1, CAST(biotype <> 'protein_coding' AS INT) AS c2, -24 * unit AS c3 FROM w JOIN t ON c = t_chrom AND low <= t_end + {FLANK} AND high >= t_start - {FLANK}
+ UNION ALL SELECT {_K4}, 'RegulatoryFeature', reg_id, 1, 1, 0 FROM w JOIN r ON c = r_chrom AND low <= r_end AND high >= r_start UNION ALL SELECT {_K4}, '~', NULL, 1, 1, 0 FROM w)
+--
+SELECT {_K4}, id AS feature FROM (SELECT *, row_number() OVER (PARTITION BY {_K4} ORDER BY c1, c2, c3, ft, coalesce(id, '')) AS n FROM en) y WHERE n = 1"""
+)
+def engine_pick(spark, sf_dir):
+    """The best entry of each allele by an order of one's own."""
+    rows = _engine(spark, sf_dir, _gene_tables(spark, sf_dir))
+    return picked(rows, "pick_allele", ("canonical", "biotype", "length")).select(*KEY, F.col("Feature").alias("feature"))
+
+
+#: Known indels as the archive writes them, half of them a base further on.
+_INDELS = "ki AS (SELECT c AS k_chrom, g1 + g1 % 2 AS k_start, g2 + g1 % 2 AS k_end, CASE WHEN length(ref) > length(alt) THEN substr(ref, 2) ELSE '-' END AS k_ref, CASE WHEN length(ref) > length(alt) THEN '-' ELSE substr(alt, 2) END AS k_alt, concat('rs', CAST(start AS VARCHAR)) AS name FROM g WHERE length(ref) <> length(alt) AND start % 2 = 0)"
+
+
+@query(
+    f"""{_G}, {_INDELS}, iv AS (SELECT *, CASE WHEN length(ref) > length(alt) THEN substr(ref, 2) ELSE '-' END AS t_ref FROM w WHERE length(ref) <> length(alt)),
+xm AS (SELECT iv.*, name FROM iv JOIN ki ON c = k_chrom AND g1 = k_start AND t_ref = k_ref AND allele = k_alt),
+nm AS (SELECT iv.*, name FROM iv JOIN ki ON c = k_chrom AND low <= greatest(k_start, k_end) AND high >= least(k_start, k_end) WHERE CASE WHEN t_ref = '-' THEN k_ref = '-' AND length(k_alt) = length(allele) ELSE k_ref <> '-' AND length(k_ref) = length(t_ref) END AND NOT EXISTS (SELECT 1 FROM xm WHERE xm.chrom = iv.chrom AND xm.start = iv.start AND xm.ref = iv.ref AND xm.alt = iv.alt))
+--
+SELECT {_K4}, string_agg(DISTINCT name, '&' ORDER BY name) AS existing FROM (SELECT {_K4}, name FROM xm UNION ALL SELECT {_K4}, name FROM nm) z GROUP BY ALL"""
+)
+def engine_probes(spark, sf_dir):
+    """Indels that are known at another place of their repeat: same kind and length, overlapping."""
+    r, a, s = F.col("ref"), F.col("alt"), F.col("start")
+    g1 = al.trimmed_start(s, r, a)
+    k = V.variants(spark, sf_dir).where("length(ref) <> length(alt) and start % 2 = 0")
+    known = k.select(al.chrom_norm(F.col("chrom")).alias("chrom"), (g1 + g1 % 2).alias("start"), (al.trimmed_end(s, r, a) + g1 % 2).alias("end"), F.concat(F.lit("rs"), s.cast("string")).alias("variation_name"), F.concat_ws("/", al.trimmed_ref(r, a), al.trimmed_alt(r, a)).alias("allele_string"), F.lit(0).alias("failed"))
+    rows = _engine(spark, sf_dir, {"variation": known}, check_existing=True).where("Existing_variation is not null")
+    return rows.select(*KEY, F.col("Existing_variation").alias("existing"))

@@ -38,7 +38,7 @@ _TYPES = {"version": "int", "start": "long", "end": "long", "strand": "int", "is
 _ATTRIBUTES = {"tsl": "TSL", "appris": "appris", "mane_select": "MANE_Select", "mane_plus_clinical": "MANE_Plus_Clinical", "ncrna_structure": "ncRNA", "gencode_basic": "gencode_basic", "gencode_primary": "gencode_primary"}
 _CODING = {"protein_id": "string", "cds_sequence": "string", "translation_seq": "string", "protein_features": _DOMAINS, "sift_predictions": _MATRIX, "polyphen_predictions": _MATRIX}
 TRANSCRIPT_SCHEMA = ", ".join(["chrom string", *[f"{c} {_TYPES.get(c, 'string')}" for c in _PLAIN], *[f"{c} {'boolean' if c.startswith('gencode') else 'string'}" for c in _ATTRIBUTES], "flags string", f"exons {_RANGES}", *[f"{c} {t}" for c, t in _CODING.items()]])
-REGULATORY_SCHEMA = "chrom string, entity string, stable_id string, start long, end long, strand int, feature_type string, motif_name string, transcription_factors string"
+REGULATORY_SCHEMA = "chrom string, entity string, stable_id string, start long, end long, strand int, feature_type string, motif_name string, transcription_factors string, matrix array<array<double>>"
 
 
 def prediction_matrix(raw: bytes | None, kind: str) -> list[dict] | None:
@@ -110,10 +110,12 @@ def transcript_row(chrom: str, t: dict) -> dict:
 
 def regulatory_row(chrom: str, entity: str, f: dict) -> dict:
     kind = f.get("feature_type")
+    elements = _get(f, "binding_matrix", "elements")
+    matrix = [[float(elements[p].get(b) or 0) for b in "ACGT"] for p in sorted(elements, key=int)] if isinstance(elements, dict) else None
     factors = f.get("transcription_factors") or f.get("_transcription_factors")
     return {
         "chrom": chrom, "entity": entity, "stable_id": _text(f.get("stable_id")), "start": int(f["start"]), "end": int(f["end"]), "strand": int(f.get("strand") or 0), "feature_type": _text(_get(kind, "name") or _get(kind, "so_name") if isinstance(kind, dict) else kind),
-        "motif_name": _text(_get(f, "binding_matrix", "stable_id") or _get(f, "_binding_matrix", "stable_id") or f.get("display_label")), "transcription_factors": _text("&".join(map(str, factors)) if isinstance(factors, list) else factors),
+        "motif_name": _text(_get(f, "binding_matrix", "stable_id") or _get(f, "_binding_matrix", "stable_id") or f.get("display_label")), "transcription_factors": _text("&".join(map(str, factors)) if isinstance(factors, list) else factors), "matrix": matrix,
     }
 
 
@@ -173,5 +175,5 @@ def entities(transcripts: DataFrame, regulatory: DataFrame) -> dict[str, DataFra
         "translation_core": coding.select("chrom", "start", "transcript_id", F.col("protein_id").alias("stable_id"), "cds_sequence", "translation_seq", "protein_features"),
         "translation_sift": coding.where("sift_predictions is not null or polyphen_predictions is not null").select("chrom", "start", "transcript_id", "sift_predictions", "polyphen_predictions"),
         "regulatory": regulatory.where("entity = 'regulatory'").select("chrom", "stable_id", "start", "end", "strand", "feature_type"),
-        "motif": regulatory.where("entity = 'motif'").select("chrom", "stable_id", "start", "end", "strand", "motif_name", "transcription_factors"),
+        "motif": regulatory.where("entity = 'motif'").select("chrom", "stable_id", "start", "end", "strand", "motif_name", "transcription_factors", "matrix"),
     }

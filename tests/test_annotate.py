@@ -141,7 +141,7 @@ def test_deletions_over_boundaries(spark, tmp_path):
         "start_lost&5_prime_UTR_variant",
     ]
     assert all(got[k].IMPACT == "HIGH" for k in range(10))
-    assert (got[0].HGVSp, got[5].HGVSp, got[6].HGVSp) == ("PR1:p.Met1?", "PR1:p.Ter30extTer?", None)
+    assert (got[0].HGVSp, got[5].HGVSp, got[6].HGVSp) == ("PR1:p.Met1?", "PR1:p.Ter30GlyextTer?", None)  # reads on into the sequence behind
 
 
 def test_indexed_fasta(spark, tmp_path):
