@@ -2,6 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes
 as Parquet and hands to the next one. All but the last return the columns of documents.
+
+In every stage an empty table gives an empty one, and columns beside id and text, whatever their
+names, stay as they are (in the last they are left out); a very long text is held whole in
+one task. Otherwise:
+
+* quality: null and empty texts are scored like others, by the weight of no features; rows that repeat an id
+  are scored each by its own text; a null id has no label and is scored.
+* near-duplicates: null and empty texts and null ids are all kept; of rows that repeat an id one stays.
+* decontamination: null and empty texts have no words and are kept; so are null ids and repeated rows.
+* personal data: a null text stays null, an empty one empty; all rows stay.
+* packing: null and empty texts get a row without a bin; ties of length go by id and piece; repeated
+  rows and null ids are packed like others.
 """
 
 from __future__ import annotations
