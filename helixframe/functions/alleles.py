@@ -51,7 +51,7 @@ SYMBOLS = {"<DEL": "deletion", "<DUP:TANDEM": "tandem_duplication", "<DUP": "dup
 
 def symbolic(alt: Column) -> Column:
     """Whether an allele is a symbol or a breakend; a short test, as filters that are pushed down repeat it."""
-    return F.startswith(alt, F.lit("<")) | F.contains(alt, F.lit("[")) | F.contains(alt, F.lit("]"))
+    return alt.rlike(r"[<\[\]]")
 
 
 def symbolic_kind(alt: Column) -> Column:
@@ -64,7 +64,7 @@ def symbolic_kind(alt: Column) -> Column:
 
 def changes(ref: Column, alt: Column) -> Column:
     """Whether there is an effect to look for: not for a star, a missing allele or one that equals the reference."""
-    return F.coalesce(~alt.isin("*", "<*>", "<NON_REF>", ".") & (ref != alt) & (F.upper(ref) != F.upper(alt)), F.lit(False))
+    return F.coalesce(~alt.isin("*", "<*>", "<NON_REF>", ".") & (F.upper(ref) != F.upper(alt)), F.lit(False))
 
 
 def symbolic_end(start: Column, alt: Column, info: Column) -> Column:
