@@ -15,7 +15,7 @@ from helixframe.llm import prefix_trie as pt
 from helixframe.llm.periodic_runs import collapse, collapse_runs, detect_runs, find_runs, repeated_order
 from helixframe.llm.queries import ORACLE_SQL, op11_prefix_trie, op12_vector_dups, op13_periodic_runs
 from helixframe.llm.slots import SlotTable
-from helixframe.llm.vector_dups import drop_near_vectors, margin, near_vectors
+from helixframe.llm.vector_dups import _placed, drop_near_vectors, margin, near_vectors, spherical_kmeans, unit
 
 SF = "/root/testdata/sf0.01"
 EMPTY = sha256(b"").hexdigest()
@@ -197,6 +197,27 @@ def test_hot_vectors(spark):
     assert all(r[1:] == (599, 0, r[0] == 0) for r in map(tuple, got.collect()))
 
 
+@pytest.mark.parametrize("block", [None, 70])
+def test_bundles_against_plain(spark, block):
+    rows = _groups(8, 500, 24, 0.25)
+    got = near_vectors(spark.createDataFrame(rows, VECTORS), cells=25, block=block, bundle=40)
+    assert sorted(tuple(r) for r in got.collect()) == plain_vectors(rows)
+
+
+@pytest.mark.parametrize("bundles", [1, 3])
+def test_a_vector_goes_once_to_each_bundle(spark, bundles):
+    x = np.random.default_rng(4).normal(size=(600, 64))
+    centres = spherical_kmeans(unit(x), 25)
+    rows = [("a", 64, i, 1, x[i].tobytes(), bundles) for i in range(600)]
+    reps = spark.createDataFrame(rows, "label string, dim int, id long, n long, vec binary, bundles int")
+    got = _placed(reps, 64, centres, margin(64), np.float64).select("id", "bundle", "home", "cells").collect()
+    # nearly random vectors visit many cells
+    assert sum(len(r.cells) for r in got) > 4 * 600
+    assert len(got) == len({(r.id, r.bundle) for r in got}) <= bundles * 600
+    assert sorted(r.id for r in got if r.home >= 0) == list(range(600))
+    assert all(r.home in (-2, *r.cells) for r in got)
+
+
 def test_margin_covers_low_dimensions():
     assert margin(3) == pytest.approx((1 - 0.93**2) ** 0.5)
     assert margin(64) < 0.6 * margin(3)
