@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import covered, interval_join, outside, overlap_counts
+from helixframe.operators.intervals import covered, gathered, interval_join, outside, overlap_counts
 from helixframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -78,3 +78,22 @@ def test_pairs_are_not_moved(spark, name):
     """The interval join is the last one: exons meet transcripts below it."""
     joins = [x for x in _plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[1].splitlines() if "Join" in x]
     assert "__bin" in joins[0]
+
+
+def test_gathered_against_plain(spark):
+    rng = random.Random(8)
+    left = [(k, rng.choice("ab"), s, s + rng.choice([0, 0, 1, 9_000, -3])) for k, s in enumerate(rng.choices(range(20_000), k=300))] + [(900, "a", 4_095, 4_096), (901, "a", None, 5), (902, None, 1, 5), (903, "z", 1, 5)]
+    right = [(f"f{k:03}", rng.choice("ab"), s, s + rng.choice([0, 40, 3_000, 15_000])) for k, s in enumerate(rng.choices(range(20_000), k=200))] + [("g1", "a", 4_000, 4_095), ("g2", "a", 4_096, 4_096), ("g3", "a", 9, 3), ("g4", "b", None, 7)]
+    a, b = spark.createDataFrame(left, "k long, c string, s long, e long"), spark.createDataFrame(right, "f string, fc string, fs long, fe long")
+    got = gathered(a, b, ("c", "fc"), (F.col("s"), F.col("e")), (F.col("fs"), F.col("fe")), ["k"], "found", ["f"])
+    want = {k: [f for f, fc, fs, fe in sorted(right) if None not in (s, fs) and c == fc and fs <= fe and s <= e and s <= fe and e >= fs] for k, c, s, e in left}
+    assert got.columns == ["k", "c", "s", "e", "found"]
+    assert {r.k: [x.f for x in r.found] for r in got.collect()} == want
+    assert got.count() == len(left)
+
+
+def test_packing_and_unions_move_no_pairs(spark):
+    for name in ("csq_pack", "csq_parse_roundtrip", "feature_union"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # no window over the entries of a variant, and nothing collects them
+        assert "count(1) windowspecdefinition" not in plan and "Feature_type" not in "".join(x for x in plan.splitlines() if "collect_list" in x), name
