@@ -67,16 +67,16 @@ def interval_join(left: DataFrame, right: DataFrame, on: tuple[str, str], left_r
     return met.drop("__l0", "__l1", "__r0", "__r1", "__level", "__level2", "__bin", "__bin2", "__first", "__first2", "__salt", "__salt2")
 
 
-def covered(right: DataFrame, chrom: str, bounds: tuple[Column, Column]) -> DataFrame:
-    """(m_chrom, m_bin, m_start, m_end): the union of closed ranges as disjoint pieces, cut at the edges of bins.
+def covered(right: DataFrame, chrom: str, bounds: tuple[Column, Column], piece: int = PIECE) -> DataFrame:
+    """(m_chrom, m_bin, m_start, m_end): the union of closed ranges as disjoint pieces, cut at the edges of bins of ``piece`` places.
 
     Of the ranges that begin at one place of a bin the longest is left before they are sorted, so a
-    group has ``PIECE`` rows at most, however many ranges lie there.
+    group has ``piece`` rows at most, however many ranges lie there.
     """
     rows = right.select(F.col(chrom).alias("m_chrom"), bounds[0].cast("long").alias("s"), bounds[1].cast("long").alias("e")).where("s <= e")
-    rows = rows.withColumn("m_bin", F.explode(F.sequence(F.floor(F.col("s") / PIECE), F.floor(F.col("e") / PIECE))))
-    edge = F.col("m_bin") * PIECE
-    cut = rows.groupBy("m_chrom", "m_bin", F.greatest("s", edge).alias("m_start")).agg(F.max(F.least("e", edge + PIECE - 1)).alias("m_end"))
+    rows = rows.withColumn("m_bin", F.explode(F.sequence(F.floor(F.col("s") / piece), F.floor(F.col("e") / piece))))
+    edge = F.col("m_bin") * piece
+    cut = rows.groupBy("m_chrom", "m_bin", F.greatest("s", edge).alias("m_start")).agg(F.max(F.least("e", edge + piece - 1)).alias("m_end"))
     order = Window.partitionBy("m_chrom", "m_bin").orderBy("m_start")
     before = F.max("m_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = cut.withColumn("new", F.when(F.col("m_start") <= before + 1, 0).otherwise(1))

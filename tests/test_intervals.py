@@ -97,3 +97,10 @@ def test_packing_and_unions_move_no_pairs(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         # no window over the entries of a variant, and nothing collects them
         assert "count(1) windowspecdefinition" not in plan and "Feature_type" not in "".join(x for x in plan.splitlines() if "collect_list" in x), name
+
+
+def test_severe_terms_make_few_pairs(spark):
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__r0" not in plan("most_severe")
+    # variants that keep the frame do not reach the join
+    assert any("% 3" in x and "frameshift" not in x for x in plan("filter_high").splitlines())
