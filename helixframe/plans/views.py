@@ -12,13 +12,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom, start, ref, alt, qual, filter; unique on the first four."""
+def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that variants() makes unique: chrom, start, ref, alt, q, f."""
     k = F.col("l_orderkey")
     base = F.substr(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1))
     mate = F.substr(F.lit("CGTA"), (k % 4 + 1).cast("int"), F.lit(1))
     no = F.col("l_linenumber")
-    rows = _read(spark, sf_dir, "lineitem").select(
+    return _read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("chr"), (F.col("l_partkey") % 22 + 1).cast("string")).alias("chrom"),
         ((k * 37 + no * 11) % 1_000_000 + 1).alias("start"),
         F.when(no == 2, F.concat(base, mate)).otherwise(base).alias("ref"),
@@ -26,6 +26,11 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("q"),
         F.when(F.col("l_returnflag") == "A", "LowQ").otherwise("PASS").alias("f"),
     )
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, start, ref, alt, qual, filter; unique on the first four."""
+    rows = variant_rows(spark, sf_dir)
     return rows.groupBy("chrom", "start", "ref", "alt").agg(F.min("q").alias("qual"), F.min("f").alias("filter"))
 
 
