@@ -313,3 +313,12 @@ def test_store_merges_and_looks_up(spark, tmp_path):
     more = spark.createDataFrame([("chr9", 5_000, "T"), ("chr9", 6_000, "T")], "chrom string, start long, alt string")
     assert [r.start for r in store.missing(more).collect()] == [6_000]
     assert store.merge(new.limit(0)) == []
+
+
+def test_motif_matrices_stay_below_the_join(spark):
+    """Weights, their span and informative positions are worked out for each motif, not for each variant in it."""
+    from helixframe.plans.queries import QUERIES
+
+    plan = QUERIES["motif_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "change" in above and "log2" not in above.lower()
