@@ -322,3 +322,16 @@ def test_motif_matrices_stay_below_the_join(spark):
     plan = QUERIES["motif_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "change" in above and "log2" not in above.lower()
+
+
+def test_probes_meet_their_own_kind_only(spark):
+    """Kind and length of an indel are equalities of the join, so others at the same place make no rows; results as a plain loop gives them."""
+    from helixframe.api import annotate_frame
+    from helixframe.options import AnnotateOptions
+
+    v = spark.createDataFrame([(1, 0, "chr1", 100, "AC", "A", "1"), (2, 0, "chr1", 100, "A", "ACC", "1"), (3, 0, "chr1", 300, "ACGTACGTACGTACGTACGTA", "A", "1")], "row_idx long, alt_no int, chrom string, start long, ref string, alt string, chrom_norm string")
+    known = [("1", 101, 101, "one", "T/-"), ("1", 100, 101, "two", "AC/-"), ("1", 102, 101, "ins", "-/TT/G"), ("1", 102, 101, "long", "-/TTT"), ("1", 320, 339, "far", "ACGTACGTACGTACGTACGT/-"), (None, 101, 101, "lost", "T/-")]
+    k = spark.createDataFrame(known, "chrom string, start long, end long, variation_name string, allele_string string").withColumn("failed", F.lit(0))
+    rows = annotate_frame(v, {"variation": k}, AnnotateOptions(check_existing=True))
+    assert {r.row_idx: r.Existing_variation for r in rows.collect()} == {1: "one", 2: "ins", 3: "far"}
+    assert "k_probe" in rows._jdf.queryExecution().optimizedPlan().toString()
