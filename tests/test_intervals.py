@@ -36,6 +36,14 @@ def test_join(tables):
     assert len(got) == len(set(got)) and set(got) == _pairs(left, right)
 
 
+@pytest.mark.parametrize("spread", [1, 3, 16])
+def test_join_of_repeated_rows(tables, spread):
+    """Equal left rows are made one within the bins, however many bins features lie in."""
+    left, right, a, b = tables
+    got = [(r.i, r.j) for r in interval_join(a.union(a), b, ("c", "d"), *_at(), spread=spread, many=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == _pairs(left, right)
+
+
 def test_outside(tables):
     left, right, a, b = tables
     for some in ([x for x in right if x[0] % 9 == 0 and (x[3] or 0) - (x[2] or 0) < 10_000], right):
@@ -110,3 +118,32 @@ def test_severe_terms_make_few_pairs(spark):
 def test_terms_without_pairs(spark, name):
     """Transcripts are swept in bins of places: variants and transcripts meet in no join of intervals."""
     assert "__r0" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["consequence_basic", "impact", "overlap_flank", "overlap_transcript", "overlap_regulatory"])
+def test_pairs_are_compiled_and_variants_move_once(spark, name):
+    """Nothing loops over a pair's exons while they are few, no aggregation moves the variants, and bins are dealt to a given number of parts."""
+    plan = _plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[1]
+    first = plan.split("Union")[1].split("Union")[0] if "Union" in plan else plan
+    above = first.split("SortMergeJoin")[0]
+    assert "exists(" not in above and "REPARTITION_BY_NUM" in plan
+    assert "hashpartitioning(chrom" not in plan
+
+
+def test_terms_of_many_exons(spark, tmp_path):
+    """A transcript whose key stands twice has eight exons; its variants get the terms of the SQL."""
+    import duckdb
+
+    from helixframe.plans.queries import ORACLE
+
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    c.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/part.parquet' UNION ALL SELECT * REPLACE (p_size % 50 + 1 AS p_size) FROM '/root/testdata/sf0.001/part.parquet' WHERE p_partkey % 3 = 0) TO '{tmp_path}/part.parquet'")
+    for t in ("part", "lineitem", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t != 'supplier' else '/root/testdata/sf0.001'}/{t}.parquet'")
+    df = QUERIES["consequence_basic"](spark, str(tmp_path))
+    want = c.execute(ORACLE["consequence_basic"])
+    order = sorted(d[0] for d in want.description)
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[n] for n in order) for r in df.collect()) == sorted(tuple(r[names.index(n)] for n in order) for r in want.fetchall())
