@@ -22,14 +22,23 @@ LONGEST = (1 << 20) - 1
 
 
 def common_prefix(a: Column, b: Column, longest: int) -> Column:
-    """Length, up to ``longest``, of the longest common prefix of two strings."""
-    sizes = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
+    """Length, up to ``longest``, of the longest common prefix of two strings.
 
-    def more(n: Column, size: Column) -> Column:
-        x = F.substr(a, n + 1, size)
-        return n + F.when((F.length(x) == size) & (x == F.substr(b, n + 1, size)), size).otherwise(0)
+    The strings are an array's only element, so each is worked out once, however many expressions it is made of.
+    """
+    sizes = [F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)]
+
+    def more(s: Column, n: Column, size: Column) -> Column:
+        x = F.substr(s["a"], n + 1, size)
+        return n + F.when((x == F.substr(s["b"], n + 1, size)) & (F.length(x) == size), size).otherwise(0)
+
+    def of(s: Column) -> Column:
+        # short strings take the last steps only
+        steps = F.when(F.least(F.length(s["a"]), F.length(s["b"])) < 16, F.array(*sizes[-4:])).otherwise(F.array(*sizes))
+        differ = F.substr(s["a"], F.lit(1), F.lit(1)) != F.substr(s["b"], F.lit(1), F.lit(1))
+        return F.when(differ, 0).otherwise(F.aggregate(steps, F.lit(0), lambda n, size: more(s, n, size)))
 
-    return F.aggregate(sizes, F.lit(0), more)
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), F.lit(0))
 
 
 def plain_alleles(ref: Column, alt: Column) -> Column:
@@ -74,12 +83,11 @@ def left_aligned(variants: DataFrame, chunks: DataFrame, windows: tuple[int, ...
     good = plain_alleles(F.col("ref"), F.col("alt"))
     rows = variants.withColumns({"__good": good, "__ref": F.upper("ref"), "__alt": F.upper("alt")})
     one = (F.length("__ref") == 1) & (F.length("__alt") == 1)
-    many = rows.where(F.col("__good") & ~one).select("c", "start", "__ref", "__alt").distinct()
-    many = many.withColumn("tail", common_prefix(F.reverse("__ref"), F.reverse("__alt"), LONGEST))
-    short = F.least(F.length("__ref"), F.length("__alt"))
-    many = many.withColumn("whole", F.col("tail") >= short).withColumn("tail", F.least("tail", short))
+    whole = F.when(F.length("__ref") > F.length("__alt"), F.endswith("__ref", "__alt")).otherwise(F.endswith("__alt", "__ref"))
+    # both flags follow from the key; as aggregates they are worked out once, where filters on them would be moved to the scan with all that alleles are made of
+    many = rows.where(~one).groupBy("c", "start", "__ref", "__alt").agg(F.bool_and("__good").alias("good"), F.bool_and(whole).alias("whole")).where("good")
     # alleles that differ beyond one stretch: the common end goes, then the common begin but one base
-    cut = many.where("not whole")
+    cut = many.where("not whole").withColumn("tail", common_prefix(F.reverse("__ref"), F.reverse("__alt"), LONGEST))
     cut = cut.withColumns({"r": F.substr("__ref", F.lit(1), F.length("__ref") - F.col("tail")), "a": F.substr("__alt", F.lit(1), F.length("__alt") - F.col("tail"))})
     cut = cut.withColumn("head", F.least(common_prefix(F.col("r"), F.col("a"), LONGEST), F.least(F.length("r"), F.length("a")) - 1))
     key = ["c", "start", "__ref", "__alt"]
@@ -93,7 +101,8 @@ def left_aligned(variants: DataFrame, chunks: DataFrame, windows: tuple[int, ...
         moved = _moved(todo, chunks, window)
         ended = moved if k == len(windows) - 1 else moved.where("not open")
         done = ended if done is None else done.union(ended)
-        todo = moved.where("open").select(*todo.columns)
+        # so near the begin of the reference none is left open, which spares the round
+        todo = _moved(todo.where(F.col("at") > window + 2), chunks, window).where("open").select(*todo.columns)
     gone = F.length("__ref") > F.length("__alt")
     first = F.col("at") == 1
     shorter = F.when(first, F.col("next")).otherwise(F.col("anchor"))

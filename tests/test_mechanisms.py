@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 import random
 import shutil
 import struct
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixframe.api import annotate_frame
 from helixframe.operators import nearest as near
-from helixframe.operators.normalise import left_aligned
+from helixframe.operators.normalise import common_prefix, left_aligned
 from helixframe.options import AnnotateOptions
 from helixframe.sources import bgzf, features, indexed, storable, vcf
 from helixframe.sources.cache import CacheCatalog, build_cache
@@ -335,3 +336,15 @@ def test_probes_meet_their_own_kind_only(spark):
     rows = annotate_frame(v, {"variation": k}, AnnotateOptions(check_existing=True))
     assert {r.row_idx: r.Existing_variation for r in rows.collect()} == {1: "one", 2: "ins", 3: "far"}
     assert "k_probe" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_common_prefix(spark):
+    """Each string is worked out once, and short and long ones give what a plain comparison gives."""
+    a, b = F.concat(F.col("x"), F.col("y")), F.col("z")
+    found = common_prefix(a, b, 1_000)
+    assert spark.range(1).select(F.lit("").alias("x"), F.lit("").alias("y"), F.lit("").alias("z")).select(found.alias("n"))._jdf.queryExecution().analyzed().toString().splitlines()[0].count("concat(x") == 1
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("AC") for _ in range(rng.randrange(6))) + "G" * rng.choice([0, 1, 9, 14, 15, 16, 17, 40, 900])
+    rows = [(x := word(), word(), x + word() if rng.random() < 0.7 else word()) for _ in range(300)] + [(None, "A", "A"), ("A", "A", None), ("", "", "")]
+    got = spark.createDataFrame(rows, "x string, y string, z string").select("x", "y", "z", found.alias("n")).collect()
+    assert all(r.n == (0 if None in (r.x, r.z) else len(os.path.commonprefix([r.x + r.y, r.z]))) for r in got) and len(got) == 303
