@@ -1,7 +1,7 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Every step is a join and an aggregation over edges, so no component has to fit in a
-task; the number of steps grows with the logarithm of the longest path. Each step is
+task, and the joins merge, so none passes the driver either; the number of steps grows with the logarithm of the longest path. Each step is
 checkpointed to the shared folder, which keeps the plan short and survives the loss
 of executors.
 """
@@ -35,10 +35,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: list | None =
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = down.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         old, now = now, []
         e = stored(small.where("a > b").distinct(), now)
         before, state = state, _state(e)

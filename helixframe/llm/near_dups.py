@@ -25,6 +25,9 @@ component is null and they are kept. Rows that share an id are one node, whose s
 with the least digest. Null and empty texts have no set and are kept. An empty table gives
 no rows; other columns, whatever their names, are ignored. A very long text is held whole
 in one task, with about 40 bytes for each of its words beside it.
+
+Every join sorts and merges: tables of ids and digests are small as compressed files, so Spark
+would send one after the other through the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -264,7 +267,7 @@ def _full_sets(documents: DataFrame, wanted: DataFrame, reps: DataFrame, key: by
 
     # one plan at every size: the texts are dealt by id, however few ids are wanted
     found = documents.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, digest binary, shingles binary")
-    return found.join(reps.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+    return found.join(reps.select("id", "digest").hint("merge"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
 
 
 def linked(first: np.ndarray, second: np.ndarray, percent: int = PERCENT) -> bool:
@@ -297,7 +300,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             good = estimate(*regs, *n) >= _least(regs[0].shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
 
-    sides = [reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    sides = [reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge") for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     return both.mapInArrow(run, "a long, b long")
 
@@ -310,8 +313,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -325,8 +328,8 @@ def _open_members(members: DataFrame, paths: list) -> DataFrame:
     sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     figures = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps")).where("comps > 1")
     blocks = F.ceil(F.greatest(F.col("n_all") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    known = salted.select("grp", "salt").distinct().join(figures, "grp").select("grp", "salt", "main", blocks.alias("blocks"))
-    placed = salted.join(known, ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    known = salted.select("grp", "salt").distinct().join(figures.hint("merge"), "grp").select("grp", "salt", "main", blocks.alias("blocks"))
+    placed = salted.join(known.hint("merge"), ["grp", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return stored(placed.select("grp", "id", (F.col("comp") != F.col("main")).alias("outside"), "comp", "n_shingles", "block", "blocks"), paths)
 
 
@@ -345,9 +348,9 @@ def _more_links(placed: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFram
     asked = asking.groupBy("grp").agg(F.collect_set("qb").alias("qbs"))  # one number for each block of a group
     salt = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(SALTS)).cast("int")
     salted = placed.withColumn("salt", salt)
-    known = salted.select("grp", "salt").distinct().join(asked, "grp")
-    right = salted.join(known, ["grp", "salt"]).select("grp", F.explode("qbs").alias("qb"), F.col("block").alias("ab"), "id", "comp", F.lit(False).alias("asks"))
-    sides = left.union(right).join(reps.select("id", "n_shingles", "sketch"), "id").join(sets, "id")
+    known = salted.select("grp", "salt").distinct().join(asked.hint("merge"), "grp")
+    right = salted.join(known.hint("merge"), ["grp", "salt"]).select("grp", F.explode("qbs").alias("qb"), F.col("block").alias("ab"), "id", "comp", F.lit(False).alias("asks"))
+    sides = left.union(right).join(reps.select("id", "n_shingles", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
     sides = sides.select("grp", "qb", "ab", "id", "comp", "n_shingles", "sketch", "shingles", "asks")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -393,8 +396,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = stored(_sketched(rows, key), paths)
     one = sketches.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     classes = one.groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = stored(one.join(classes, "digest").select("id", "rep", "digest"), paths)
-    reps = stored(sketches.join(nodes.where("id = rep").select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]), paths)
+    nodes = stored(one.join(classes.hint("merge"), "digest").select("id", "rep", "digest"), paths)
+    reps = stored(sketches.join(nodes.where("id = rep").select("id", "digest").hint("merge"), ["id", "digest"]).dropDuplicates(["id"]), paths)
     n = reps.count()
     shards = shards or max(8, -(-n * BANDS // SHARD_KEYS))
     stars = stored(_star_links(_buckets(reps, shards), shards), paths)
@@ -404,12 +407,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     groups = components(stars, keep=paths)
     comps = components(good, keep=paths)
-    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    members = members.join(reps.select("id", "n_shingles"), "id").select("grp", "id", F.coalesce("component", "id").alias("comp"), "n_shingles")
+    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(comps.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    members = members.join(reps.select("id", "n_shingles").hint("merge"), "id").select("grp", "id", F.coalesce("component", "id").alias("comp"), "n_shingles")
     more = stored(_more_links(_open_members(members, paths), reps, sets), paths)
     final = components(good.union(more), keep=paths).select(F.col("node").alias("rep"), "component")
-    placed = nodes.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n_shingles").join(placed, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    placed = nodes.join(final.hint("merge"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    out = sketches.select("id", "n_shingles").join(placed.hint("merge"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     out = stored(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")))
     drop(spark, paths)
     return out
@@ -423,11 +426,11 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     """
     found = near_duplicates(documents, id_col, text_col)
     gone = found.where("not kept").select(id_col).distinct()
-    kept = documents.join(gone, id_col, "left_anti").select(*documents.columns)
+    kept = documents.join(gone.hint("merge"), id_col, "left_anti").select(*documents.columns)
     # most tables repeat no id: texts are then not shuffled for it
     twice = stored(documents.groupBy(F.col(id_col)).agg(F.count("*").alias("__n")).where("__n > 1").where(F.col(id_col).isNotNull()).select(id_col))
     if twice.isEmpty():
         return kept
     first = Window.partitionBy(F.col(id_col)).orderBy(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    again = kept.join(twice, id_col, "left_semi").select(*documents.columns).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return kept.join(twice, id_col, "left_anti").select(*documents.columns).union(again)
+    again = kept.join(twice.hint("merge"), id_col, "left_semi").select(*documents.columns).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.join(twice.hint("merge"), id_col, "left_anti").select(*documents.columns).union(again)

@@ -35,6 +35,18 @@ def test_near_duplicates_brute(spark):
     assert got == brute.near_duplicates(docs(spark, "/root/testdata/sf0.01"))
 
 
+def test_near_duplicates_send_no_table_through_the_driver(spark):
+    """No join broadcasts, however small its tables are."""
+    ran = spark._jsparkSession.sharedState().statusStore()
+    plans = lambda: {(e := ran.executionsList().apply(k)).executionId(): e.physicalPlanDescription() for k in range(ran.executionsList().size())}
+    before = max(plans(), default=-1)
+    assert near_duplicates(frame(spark, docs(spark))).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    own = [plan for k, plan in plans().items() if k > before]
+    assert any("SortMergeJoin" in plan for plan in own)
+    assert not any("BroadcastExchange" in plan for plan in own)
+
+
 def test_near_duplicates_chain_and_edges(spark):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(200)]
