@@ -147,3 +147,43 @@ def test_terms_of_many_exons(spark, tmp_path):
     order = sorted(d[0] for d in want.description)
     names = [d[0] for d in want.description]
     assert sorted(tuple(r[n] for n in order) for r in df.collect()) == sorted(tuple(r[names.index(n)] for n in order) for r in want.fetchall())
+
+
+def _above_pairs(spark, name):
+    """The physical plan above the join of variants and transcripts, and the plan."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    return plan.split("SortMergeJoin")[0], plan
+
+
+def test_flanks_pass_no_function(spark):
+    """Entries beside transcripts are made alone: no coding effect, no intron and no other kind of feature is worked out for them."""
+    _, plan = _above_pairs(spark, "engine_flanks")
+    assert "_effects" not in plan and "introns" not in plan and "reg_id" not in plan
+
+
+def test_structural_pairs_are_not_moved(spark, tmp_path):
+    """Variants are made unique before they meet transcripts; where a transcript's id stands twice, its pairs are as well."""
+    above, plan = _above_pairs(spark, "engine_structural")
+    assert "Aggregate" not in above and "_effects" not in plan
+    import duckdb
+
+    from helixframe.plans.queries import ORACLE
+
+    c, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    c.execute(f"COPY (SELECT * FROM '{sf}/orders.parquet' UNION ALL SELECT * FROM '{sf}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    c.execute(f"COPY (SELECT * FROM '{sf}/part.parquet' UNION ALL SELECT * FROM '{sf}/part.parquet' WHERE p_partkey % 3 = 0) TO '{tmp_path}/part.parquet'")
+    c.execute(f"COPY (SELECT * FROM '{sf}/supplier.parquet') TO '{tmp_path}/supplier.parquet'")
+    for t in ("orders", "part", "lineitem", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t != 'lineitem' else sf}/{t}.parquet'")
+    want = c.execute(ORACLE["engine_structural"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["engine_structural"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["engine_coding", "engine_deletions"])
+def test_coding_pairs_are_not_moved(spark, name):
+    """No join stands behind that of variants and transcripts, and what the query asks of a pair is not written out in its condition."""
+    above, plan = _above_pairs(spark, name)
+    assert "_effects" in above
+    assert max(len(x) for x in plan.splitlines() if "SortMergeJoin" in x or "Filter" in x) < 5_000
